@@ -89,7 +89,7 @@ class Encoder:
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: distinct pre-tokens joined to each text's frequencies."""
         freqs = [None if p is None else Counter(p) for p in map(self.pieces, texts)]
-        self.learn(set().union(*(f.keys() - self.known.keys() for f in freqs if f)), len)
+        self.learn({w for f in freqs if f for w in f if w not in self.known}, len)
         out = []
         for text, freq in zip(texts, freqs):
             if freq is None:
@@ -105,7 +105,7 @@ class Encoder:
         """Each text's ids, packed as ``dtype``."""
         pack = lambda ids: np.array(ids, dtype).tobytes()
         split = [self.pieces(t) for t in texts]
-        self.learn(set().union(*(set(p) - self.known.keys() for p in split if p)), pack)
+        self.learn({w for p in split if p for w in p if w not in self.known}, pack)
         for text, words in zip(texts, split):
             if words is None:
                 yield pack(self.whole(text))
