@@ -19,20 +19,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     goes to the others by weight, until none is above: sources are taken by
     limit over weight, and all from the first that stays below share one level.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("bigint")
-    ranked = ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit"))
-    order = Window.orderBy(F.col("limit") / F.col("weight"), "rank_key")
-    ranked = ranked.withColumn("rank_key", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    all_rows = Window.partitionBy()
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # over a row for each source
+    ranked = sizes.select("source", "source_size", F.row_number().over(by_name).alias("rank"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("bigint")
+    ranked = ranked.select("source", "source_size", "rank", weight.alias("weight"), (F.col("source_size") * most).alias("limit"))
+    order = Window.orderBy(F.col("limit") / F.col("weight"), "rank")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     full = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint")
-    level = (F.sum("source_size").over(all_rows) - full("limit")).cast("double") / (F.sum("weight").over(all_rows) - full("weight")).cast("double")
+    left = (F.sum("source_size").over(every).cast("bigint") - full("limit")).cast("double")
+    level = left / (F.sum("weight").over(every).cast("bigint") - full("weight")).cast("double")
     leveled = ranked.withColumn("level", level)
-    below = F.col("level") * F.col("weight") <= F.col("limit")
-    first = F.max(F.when(below, F.col("level"))).over(all_rows)  # levels rise while sources are full, then fall no more
-    first = F.first(F.when(below, F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return leveled.withColumn("water", first).select(
+    stays_below = F.col("level") * F.col("weight") <= F.col("limit")
+    water = F.first(F.when(stays_below, F.col("level")), ignorenulls=True).over(every)
+    return leveled.withColumn("water", water).select(
         "source", "source_size", F.least(F.col("limit").cast("double"), F.col("water") * F.col("weight")).alias("target")
     )
 
