@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pangrove.llm import mixing, quality, simhash, tokens, toxicity, url_filters
+from pangrove.llm import decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, url_filters
 
 BPE = "byte_bpe_50k.json"
 
@@ -45,6 +45,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -55,14 +59,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op4_url_filters": op4_url_filters,
     "op5_mixing": op5_mixing,
+    "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 _HOST = """CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'),
@@ -81,9 +91,22 @@ best AS (
   GROUP BY 1, 2)
 SELECT page_id, u.host, u.path, b.rule, coalesce(b.action, 'allow') AS verdict
 FROM urls u LEFT JOIN best b ON u.host = b.host AND u.path = b.path""",
+    "op6_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, to_id) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.to_id = l.a),
+comp AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN comp c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op5_mixing": r"""
 WITH sizes AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-]+')) END::BIGINT AS size FROM documents),
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^ 	-
+]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, ([5, 2, 1])[(rank - 1) % 3 + 1]::BIGINT AS weight, source_size * 3 AS lim FROM r),
