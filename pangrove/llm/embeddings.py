@@ -95,7 +95,7 @@ def _recall_slack(classes: DataFrame, index: Index, queries: np.ndarray, thresho
                 cell = index.own(*index.costs(unit))[x]
                 extra = qa[q, cell // len(index.second)] + qb[q, cell % len(index.second)] - own[0][q] - own[1][q]
                 bins += np.bincount(np.clip(np.ceil(extra / step), 0, 400).astype(int), minlength=401)
-        yield pa.RecordBatch.from_pydict({"bin": list(range(401)), "n": bins.tolist()})
+        yield pa.RecordBatch.from_arrays([pa.array(range(401), pa.int32()), pa.array(bins)], names=["bin", "n"])
 
     rows = classes.select("blob").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(401)
