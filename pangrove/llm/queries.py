@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pangrove.llm import decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, url_filters
+from pangrove.llm import decontaminate, embeddings, mixing, quality, simhash, substrings, tokens, toxicity, url_filters
 
 BPE = "byte_bpe_50k.json"
 
@@ -59,6 +60,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -72,7 +77,9 @@ QUERIES = {
     "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_substrings": op9_substrings,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 _HOST = """CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'),

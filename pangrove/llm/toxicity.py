@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
@@ -146,3 +147,14 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, id_col
 
     scored = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, score double")
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        scorer = Scorer(model)
+        return pd.Series([scorer.score(t or "") for t in texts])
+
+    return docs.where(score(F.col(text_col).cast("string")) < threshold)
