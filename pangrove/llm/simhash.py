@@ -5,69 +5,89 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pangrove.llm.common import connected_components, forest, written
+from pangrove.llm.common import connected_components, forest, session_partitions, written
 
 #: Fingerprints in a tile, about: a task holds two tiles and a strip of their comparison.
 TILE = 8192
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The text's SimHash as an unsigned integer; zero without words."""
+def fingerprint(text: str | None, words: int = 4, seed: int = 42, lanes: int = 1) -> np.ndarray:
+    """The text's SimHash as ``lanes`` 64-bit numbers, one for each seed from ``seed``; zero without words."""
+    out = np.zeros(lanes, "<u8")
     w = (text or "").encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII blanks split
     if not w:
-        return 0
-    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
+        return out
     n = max(1, len(w) - words + 1)
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.dtype("<u8"), n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` of every row; ``fp`` is the fingerprint's bits as a signed long."""
+    shingles = list(map(b" ".join, zip(*(w[k:] for k in range(words))))) if len(w) >= words else [b" ".join(w)]
+    for lane in range(lanes):
+        h = np.fromiter((xxhash.xxh64_intdigest(s, seed + lane) for s in shingles), np.dtype("<u8"), n)
+        ones = np.zeros(64, np.int64)
+        for k in range(0, n, 1 << 16):
+            bits = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]
+    return out
+
+
+def fingerprints(
+    docs: DataFrame, words: int = 4, seed: int = 42, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id, fp)`` of every row; ``fp`` holds the lanes' bytes, the least significant first."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = [fingerprint(t.as_py(), words, seed, lanes).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {id_type}, fp binary")
+
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, fp bigint")
+#: Bits of the first lane in which texts within the radius differ, at most, for
+#: wide fingerprints: a share of the radius and four deviations of its draw.
+def _first_radius(radius: int, lanes: int) -> int:
+    share = radius / (64 * lanes)
+    return radius if lanes == 1 else int(np.ceil(64 * share + 4 * np.sqrt(64 * share * (1 - share))))
 
 
-def _compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the pairs of ``a`` and ``b`` within ``radius`` join.
+def _compare(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the nodes ``na`` and ``nb`` that join what their pairs within ``radius`` join.
 
-    Both are cut into sub-tiles of equal population counts of their four
-    quarters' halves; sub-tiles whose counts differ beyond the radius are
-    skipped, the others compared bit by bit.  Each strip's pairs are reduced to
-    a forest at once, so a group of copies never gives all its pairs.
+    Both are ordered by the population count of a part of the first lane;
+    stretches whose counts differ beyond the radius are skipped, the others
+    compared bit by bit, the further lanes for pairs that the first lets
+    through.  Each strip's pairs are reduced to a forest at once, so a group of
+    copies never gives all its pairs.
     """
-    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib = where[: len(a)], where[len(a) :]
+    nodes, where = np.unique(np.concatenate([na, nb]), return_inverse=True)
+    ia, ib = where[: len(na)], where[len(na) :]
     label = np.arange(len(nodes))
-    quarter = lambda x: np.bitwise_count(x.view(np.uint64) & np.uint64(0xFFFF0000FFFF0000)).astype(np.int64)
-    order_a, order_b = np.argsort(quarter(a), kind="stable"), np.argsort(quarter(b), kind="stable")
+    lanes = a.shape[1]
+    first = _first_radius(radius, lanes)
+    part = lambda x: np.bitwise_count(x[:, 0] & np.uint64(0xFFFF0000FFFF0000)).astype(np.int64)
+    order_a, order_b = np.argsort(part(a), kind="stable"), np.argsort(part(b), kind="stable")
     a, ia, b, ib = a[order_a], ia[order_a], b[order_b], ib[order_b]
-    qa, qb = quarter(a), quarter(b)
-    ends = np.flatnonzero(np.diff(qa, append=-1)) + 1
+    qa, qb = part(a), part(b)
+    b0 = np.ascontiguousarray(b[:, 0])
     begin = 0
-    for end in ends.tolist():
-        lo, hi = np.searchsorted(qb, qa[begin] - radius, "left"), np.searchsorted(qb, qa[begin] + radius, "right")
-        strip = max(1, (1 << 21) // max(1, hi - lo))
+    for end in (np.flatnonzero(np.diff(qa, append=-1)) + 1).tolist():
+        lo, hi = np.searchsorted(qb, qa[begin] - first, "left"), np.searchsorted(qb, qa[begin] + first, "right")
+        strip = max(1, (1 << 19) // max(1, hi - lo))
         for k in range(begin, end, strip) if hi > lo else ():
-            some = a[k : min(k + strip, end)].view(np.uint64)
-            near = np.bitwise_count(some[:, None] ^ b[lo:hi].view(np.uint64)[None, :]) <= radius
-            x, y = np.nonzero(near)
-            u, v = ia[k + x], ib[lo + y]
-            apart = label[u] != label[v]
-            if apart.any():
-                child, parent = forest(len(nodes), np.concatenate([np.arange(len(nodes)), u[apart]]), np.concatenate([label, v[apart]]))
+            some = a[k : min(k + strip, end)]
+            x, y = np.nonzero(np.bitwise_count(some[:, :1] ^ b0[None, lo:hi]) <= first)
+            apart = label[ia[k + x]] != label[ib[lo + y]]
+            x, y = x[apart], y[apart]
+            if lanes > 1 and len(x):
+                near = np.bitwise_count(some[x] ^ b[lo + y]).sum(axis=1) <= radius
+                x, y = x[near], y[near]
+            if len(x):
+                child, parent = forest(
+                    len(nodes), np.concatenate([np.arange(len(nodes)), ia[k + x]]), np.concatenate([label, ib[lo + y]])
+                )
                 label = np.arange(len(nodes))
                 label[child] = parent
         begin = end
@@ -75,52 +95,70 @@ def _compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.
     return nodes[child], nodes[label[child]]
 
 
-def fingerprint_edges(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """Edges ``(a, b)`` between fingerprints that join exactly what all links join.
+def fingerprint_edges(distinct: DataFrame, radius: int = 4, lanes: int = 1, tile: int = TILE) -> DataFrame:
+    """Edges ``(a, b)`` between nodes that join exactly what all links join.
 
-    ``distinct`` holds each fingerprint once, in ``fp``.  A fingerprint's cell
-    is the population counts of its two halves; two fingerprints within the
-    radius lie in cells whose counts differ by no more than the radius in all,
-    so only such pairs of tiles meet, by an equality join on the cell.  Cells
-    with many fingerprints are dealt into tiles by a hash.
+    ``distinct`` holds each fingerprint once, as ``(node, fp)``.  With one lane
+    a fingerprint's cell is the population counts of its two halves; two
+    fingerprints within the radius lie in cells whose counts differ by no more
+    than the radius in all, so only such pairs of tiles meet, by an equality
+    join on the cell.  (With more lanes and a wide radius no counts differ
+    beyond it, and all tiles are one cell.)  Cells with many fingerprints are
+    dealt into tiles by a hash.
     """
-    cells = distinct.select(
-        "fp",
-        F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("hi"),
-        F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("lo"),
-    )
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("fp"), k, F.lit(1))), 16, 10).cast("int")
+    half = lambda k: sum((F.bit_count(byte(k + x)) for x in range(1, 4)), F.bit_count(byte(k))).cast("int")
+    narrow = lanes == 1 and radius <= 16
+    cells = distinct.select("node", "fp", (half(5) if narrow else F.lit(0)).alias("hi"), (half(1) if narrow else F.lit(0)).alias("lo"))
     sizes = cells.groupBy("hi", "lo").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
     # At most 33 x 33 cells exist, whatever the input.
     tiles = (
         cells.join(F.broadcast(sizes), ["hi", "lo"])
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         .groupBy("hi", "lo", "block")
-        .agg(F.collect_list("fp").alias("fps"))  # a tile: bounded by its hash share
+        .agg(F.collect_list(F.struct("node", "fp")).alias("tile"))  # bounded by its hash share
     )
     tiles = written(tiles, "simhash-tiles")
-    steps = [(x, y) for x in range(0, radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius and (x, y) >= (0, 0)]
-    reach = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]))
-    left = tiles.select("hi", "lo", F.col("block").alias("block_a"), F.col("fps").alias("fps_a"), reach.alias("to")).select(
-        "block_a", "fps_a", (F.col("hi") + F.col("to.x")).alias("hi"), (F.col("lo") + F.col("to.y")).alias("lo"),
+    reach = radius if narrow else 0
+    steps = [(x, y) for x in range(0, reach + 1) for y in range(-reach, reach + 1) if abs(x) + abs(y) <= reach and (x, y) >= (0, 0)]
+    steps = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]))
+    left = tiles.select("hi", "lo", F.col("block").alias("block_a"), F.col("tile").alias("tile_a"), steps.alias("to")).select(
+        "block_a", "tile_a", (F.col("hi") + F.col("to.x")).alias("hi"), (F.col("lo") + F.col("to.y")).alias("lo"),
         ((F.col("to.x") == 0) & (F.col("to.y") == 0)).alias("same"),
     )
     pairs = left.join(tiles, ["hi", "lo"]).where(~F.col("same") | (F.col("block_a") <= F.col("block")))
     # Tile pairs are unlike in size and number by cell: deal them evenly.
-    pairs = pairs.select("fps_a", F.col("fps").alias("fps_b")).repartition(
-        max(12, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    )
+    pairs = pairs.select("tile_a", F.col("tile").alias("tile_b")).repartition(max(12, session_partitions(distinct.sparkSession)))
 
     def run(batches):
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                x, y = _compare(a.values.to_numpy(), b.values.to_numpy(), radius)
+            for k in range(batch.num_rows):
+                sides = []
+                for c in (0, 1):
+                    rows = batch.column(c)[k].values
+                    fps = np.frombuffer(b"".join(rows.field("fp").to_pylist()), "<u8").reshape(-1, lanes)
+                    sides += [rows.field("node").to_numpy(), fps]
+                x, y = _compare(*sides, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _digits(lanes: int) -> Column:
+    """The lanes as 16 hexadecimal digits each, the most significant first."""
+    digits = lambda k: F.lower(F.hex(F.substring(F.col("fp"), k, F.lit(1))))
+    return F.concat(*[digits(8 * lane + k) for lane in range(lanes) for k in range(8, 0, -1)])
+
+
 def simhash_groups(
-    docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    words: int = 4,
+    radius: int = 4,
+    seed: int = 42,
+    lanes: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tile: int = TILE,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -131,11 +169,12 @@ def simhash_groups(
     least, and a component of null ids alone has none.  Repeated rows come out
     once each.  An empty table gives an empty table.
     """
-    fps = written(fingerprints(docs, words, seed, id_col, text_col), "simhash-fp")
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    labels = connected_components(fingerprint_edges(distinct.select("fp"), radius))
-    labels = written(labels.select(F.col("node").alias("fp"), "component"), "simhash-labels")
-    node = distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    fps = written(fingerprints(docs, words, seed, lanes, id_col, text_col), "simhash-fp")
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = written(distinct, "simhash-distinct")
+    labels = connected_components(fingerprint_edges(distinct.select("node", "fp"), radius, lanes, tile))
+    labels = written(labels, "simhash-labels")
+    node = distinct.join(labels, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
     least = node.groupBy("component").agg(F.min("least").alias("component_id"))
     node = node.join(least, "component").select("fp", "component_id")
-    return fps.join(node, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(node, "fp").select(F.col("id").alias(id_col), _digits(lanes).alias("fingerprint"), "component_id")

@@ -59,9 +59,11 @@ def test_small_tiles(spark):
             for b in rng.sample(range(63), rng.choice([2, 4, 5])):
                 g ^= 1 << b
             fps.add(g)
-    edges = simhash.fingerprint_edges(spark.createDataFrame([(f,) for f in fps], "fp bigint"), 4, tile=8)
-    got = {r.node: r.component for r in connected_components(edges).collect()}
     order = sorted(fps)
+    rows = [(k, (f & (1 << 64) - 1).to_bytes(8, "little")) for k, f in enumerate(order)]
+    edges = simhash.fingerprint_edges(spark.createDataFrame(rows, "node bigint, fp binary"), 4, tile=8)
+    found = {r.node: r.component for r in connected_components(edges).collect()}
+    got = {order[k]: order[v] for k, v in found.items()}
     comp = {f: f for f in order}
 
     def find(x):
@@ -85,3 +87,20 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_wide(spark):
+    """Eight lanes: similarity 0.85 and more links, 0.6 and less does not."""
+    rng = random.Random(3)
+    rows, want = [], []
+    for d in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows.append((2 * d, " ".join(base)))
+        changed = list(base)
+        for k in rng.sample(range(400), 4 if d % 2 else 30):  # 20 or 150 of 396 shingles
+            changed[k] = "x"
+        rows.append((2 * d + 1, " ".join(changed)))
+        want += [2 * d, 2 * d if d % 2 else 2 * d + 1]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, words=5, lanes=8, radius=84, tile=16).collect()}
+    assert [got[d] for d, _ in rows] == want
