@@ -46,7 +46,7 @@ def graph_hash(segments: DataFrame, node: str = "node", length: str = "length")
     )
     # No length counts as 2**64 - 1.
     size = F.when(F.col("n").isNull(), F.array_repeat(F.lit(255), 8)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.shiftright(F.col("n"), 8 * k).bitwiseAND(F.lit(255)).cast("int"))
+        F.array(*[F.shiftright(F.col("n"), 8 * k).bitwiseAND(F.lit(255)).cast("int") for k in range(8)])
     )
     all_bytes = F.concat(id_bytes, F.array(F.lit(255)), size)
 

@@ -43,7 +43,7 @@ def window_cost(tiled: DataFrame) -> DataFrame:
 
 def cost_quantiles(cost: DataFrame) -> DataFrame:
     """Exact discrete quantiles of the steps in a tile."""
-    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n_steps)")
+    at = lambda q: F.expr(f"cast(percentile_disc({q}) WITHIN GROUP (ORDER BY n_steps) as bigint)")
     return cost.agg(F.count("*").alias("n_tiles"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("n_steps").alias("max"))
 
 

@@ -385,8 +385,8 @@ SELECT p_partkey, CASE WHEN alt > ref AND ref > 0 THEN ref || 'M' || (alt - ref)
     "tile_table": f"""WITH {OFFSETS}, e AS (SELECT line AS seq, max(off + length) AS end_pos FROM offs WHERE is_ref GROUP BY 1)
 SELECT seq, s AS tile_start, least(s + {TILE}, end_pos) AS tile_end FROM (SELECT seq, end_pos, unnest(range(0, end_pos, {TILE})) AS s FROM e)""",
     "stable_placement": f"""WITH {OFFSETS}, m AS (
-  SELECT node, min(struct_pack(a := line, b := off)) AS at FROM offs WHERE node NOT IN (SELECT node FROM offs WHERE is_ref) GROUP BY 1)
-SELECT node, at.a AS seq, at.b AS start_pos FROM m""",
+  SELECT node, min(struct_pack(a := line, b := off)) AS least FROM offs WHERE node NOT IN (SELECT node FROM offs WHERE is_ref) GROUP BY 1)
+SELECT node, least.a AS seq, least.b AS start_pos FROM m""",
     "walk_pieces": f"""WITH {TILED}
 SELECT line AS name, 0::BIGINT AS frag_start, min(off) AS hap_offset, piece, t_seq AS seq, t_tile AS tile, count(*) AS n_steps, sum(length)::BIGINT AS bp
 FROM tiled GROUP BY line, piece, t_seq, t_tile""",
