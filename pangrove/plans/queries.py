@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pangrove.functions import handles, names
 from pangrove.operators import index, intervals, metrics, place, walks
 from pangrove.operators.components import connected_components
+from pangrove.plans.storage import checkpointed
 from pangrove.sources.derived import SQL as GRAPH
 from pangrove.sources.derived import derived_graph
 
@@ -96,7 +97,11 @@ dep AS (SELECT * FROM departed WHERE NOT (own_bp = 0 AND leave_rev = rejoin_rev
 def _graph(spark: SparkSession, sf_dir: str):
     graph = derived_graph(spark, sf_dir)
     placed = place.from_paths(graph, REF, check=False)
-    return place.flip(graph, placed), placed
+    # Placed nodes feed every row and every span: made once, kept in the shared folder.
+    placed.nodes = checkpointed(placed.nodes)
+    graph = place.flip(graph, placed)
+    graph.links = checkpointed(graph.links)
+    return graph, placed
 
 
 def _tiled(spark, sf_dir):
@@ -396,12 +401,12 @@ SELECT CASE WHEN leave_rev <> rejoin_rev THEN 'switch' WHEN (leave_rev AND rejoi
             WHEN rejoin_pos = leave_pos THEN 'own' ELSE 'forward' END AS kind, count(*) AS n, sum(own_bp)::BIGINT AS own_bp FROM dep GROUP BY 1""",
     "departure_blocks": f"""WITH RECURSIVE {DEPARTED},
 d AS (SELECT row_number() OVER () AS id, seq, start_pos // 8 AS lo, (end_pos + 7) // 8 AS hi FROM dep),
-c(id, seq, at, size, hi) AS (
+c(id, seq, pos, size, hi) AS (
   SELECT id, seq, lo, CASE WHEN lo % 512 = 0 AND lo + 512 <= hi THEN 512 WHEN lo % 64 = 0 AND lo + 64 <= hi THEN 64 WHEN lo % 8 = 0 AND lo + 8 <= hi THEN 8 ELSE 1 END, hi FROM d
   UNION ALL
-  SELECT id, seq, at + size, CASE WHEN (at + size) % 512 = 0 AND at + size + 512 <= hi THEN 512 WHEN (at + size) % 64 = 0 AND at + size + 64 <= hi THEN 64
-         WHEN (at + size) % 8 = 0 AND at + size + 8 <= hi THEN 8 ELSE 1 END, hi FROM c WHERE at + size < hi)
-SELECT seq, at * 8 AS block_start, (size * 8)::BIGINT AS block_size, count(*) AS n FROM c GROUP BY 1, 2, 3""",
+  SELECT id, seq, pos + size, CASE WHEN (pos + size) % 512 = 0 AND pos + size + 512 <= hi THEN 512 WHEN (pos + size) % 64 = 0 AND pos + size + 64 <= hi THEN 64
+         WHEN (pos + size) % 8 = 0 AND pos + size + 8 <= hi THEN 8 ELSE 1 END, hi FROM c WHERE pos + size < hi)
+SELECT seq, pos * 8 AS block_start, (size * 8)::BIGINT AS block_size, count(*) AS n FROM c GROUP BY 1, 2, 3""",
     "departures_in_window": f"WITH {DEPARTED} SELECT DISTINCT * FROM dep WHERE seq = 'R#0#Brand#1' AND start_pos < 500 AND end_pos > 300",
     "event_holes": """WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS t FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events)),
 s AS (SELECT user_id AS seq, t - min(t) OVER (PARTITION BY user_id) + 5 AS start_pos, t - min(t) OVER (PARTITION BY user_id) + 1005 AS end_pos FROM e),
