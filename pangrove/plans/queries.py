@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pangrove.functions import handles, names
-from pangrove.operators import index, intervals, metrics, place, walks
+from pangrove.operators import alleles, codec, fold, index, intervals, metrics, place, walks
 from pangrove.operators.components import connected_components
 from pangrove.plans.storage import checkpointed
 from pangrove.sources.derived import SQL as GRAPH
@@ -309,13 +309,35 @@ def customer_components(spark, sf_dir):
     return connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
+def coarse_tier(spark, sf_dir):
+    """The graph with variants under 20 bp folded away, as segments."""
+    graph, placed = _graph(spark, sf_dir)
+    return fold.fold(graph, placed, 20).segments.select("node", "length", F.col("sn").alias("seq"), F.col("so").alias("start_pos"), F.col("sr").alias("rank"))
+
+
+def allele_inventory(spark, sf_dir):
+    return alleles.alleles(*_graph(spark, sf_dir))
+
+
+def direct_deletions(spark, sf_dir):
+    """Skips along the backbone, of the allele inventory."""
+    rows = alleles.alleles(*_graph(spark, sf_dir)).where("segments = '.'")
+    return rows.select("chrom", "start_pos", "end_pos", "label", "ref_len", "cigar")
+
+
+def encoded_tiles(spark, sf_dir):
+    """Every piece of every tile, encoded and decoded again."""
+    return codec.encode_tiles(_tiled(spark, sf_dir), REF)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         placed_nodes, contig_nodes_in_region, contig_links, anchored_nodes, anchored_links, off_reference_components, index_cut_links, contig_traversal,
         carrier_sets, sample_bits, graph_hash, path_lengths, name_parts, allele_text, tile_table, stable_placement, walk_pieces, departures, departure_kinds,
         departure_blocks, departures_in_window, departure_own_tiles, window_walks, event_holes, order_overlaps, copy_number, order_visits, link_traffic,
-        untraversed_links, tile_costs, tile_cost_quantiles, costliest_tiles, width_histogram, line_collisions, customer_components,
+        untraversed_links, tile_costs, tile_cost_quantiles, costliest_tiles, width_histogram, line_collisions, customer_components, coarse_tier, allele_inventory, direct_deletions,
+        encoded_tiles,
     )
 }
 
@@ -439,6 +461,13 @@ SELECT CASE WHEN w < 10 THEN 'a <10' WHEN w < 100 THEN 'b 10-100' WHEN w < 1000
   SELECT o_custkey AS name, o_orderkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS a, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + o_orderkey % 40 + 1 AS b FROM orders),
 l AS (SELECT *, lag(a) OVER w AS a0, lag(b) OVER w AS b0 FROM s WINDOW w AS (PARTITION BY name ORDER BY a, b, o_orderkey))
 SELECT name, count(*) AS n FROM l WHERE a = a0 OR a < b0 GROUP BY 1""",
+    "direct_deletions": f"""WITH {PLACED},
+arcs AS (
+  SELECT src, src_rev, tgt, tgt_rev FROM flinks UNION SELECT tgt, NOT tgt_rev, src, NOT src_rev FROM flinks),
+skips AS (
+  SELECT DISTINCT a.seq, a.end_pos AS s, b.start_pos AS e FROM arcs JOIN placed a ON a.node = src JOIN placed b ON b.node = tgt
+  WHERE a.rank = 0 AND b.rank = 0 AND a.seq = b.seq AND NOT src_rev AND NOT tgt_rev AND a.end_pos < b.start_pos)
+SELECT regexp_replace(seq, '^[^#]+#[^#]+#', '') AS chrom, s AS start_pos, e AS end_pos, format('{{:,}}', s - e) AS label, e - s AS ref_len, (e - s) || 'D' AS cigar FROM skips""",
     "customer_components": """WITH RECURSIVE e AS (
   SELECT l_partkey AS a, l_orderkey + 1000000000 AS b FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.05),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
