@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the driver and all executors share.
+from pangrove.operators.components import connected_components
+from pangrove.plans.storage import checkpointed, shared_dir
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (a local test session) a temporary folder of this machine is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pangrove-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["checkpointed", "connected_components", "forest", "least_labels", "session_partitions", "shared_dir", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,12 +23,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession, "any")
-    return df.checkpoint()
-
-
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,45 +46,3 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     label = least_labels(n, a, b)
     child = np.flatnonzero(label != np.arange(n))
     return child, label[child]
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, component)`` for each node of an edge; the component is its least node.
-
-    Alternates large and small stars until no edge changes.  A hub's edges are
-    never gathered: its least neighbour comes from a combined aggregate, and
-    the join back to the edges can be split where a hub is large.
-    """
-    e = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col("u") != F.col("v"))
-        .distinct()
-    )
-    e = checkpointed(e)
-    seen = None
-    while True:
-        # Large star: each node hands its least neighbour to its larger ones.
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where(F.col("v") > F.col("u"))
-            .join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") != F.col("v"))
-        )
-        # Small star: each node hands its least smaller neighbour to the others.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v")))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        e = checkpointed(e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    roots = e.groupBy(F.col("v").alias("node")).agg(F.min("v").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
