@@ -32,7 +32,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 UNSETTLED = re.compile("[^\t-\r -~\x80-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 class Encoder:
@@ -58,6 +58,10 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and spec["model"]["type"] == "BPE"
         )
+        #: The byte-level alphabet: printable bytes as they are, the others from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spell = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
         self.ids_below = self.library.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, np.ndarray | bytes | int] = {}
 
@@ -80,11 +84,14 @@ class Encoder:
         """Remember ``value(ids)`` of each word."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = value(e.ids)
+        # A pre-token is one word to the library's model: its bytes in the byte-level alphabet.
+        merge, spell = self.library.model.tokenize, self.spell
+        for word in words:
+            if word.isascii() and word.isprintable():
+                spelled = word.replace(" ", "\u0120")
+            else:
+                spelled = word.encode("utf-8").decode("latin-1").translate(spell)
+            self.known[word] = value([t.id for t in merge(spelled)])
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: distinct pre-tokens joined to each text's frequencies."""
