@@ -38,7 +38,7 @@ REMEMBERED = 800_000
 class Encoder:
     """A tokenizers file with a memory of pre-tokens; one for each worker and file."""
 
-    _open: dict[str, Encoder] = {}
+    _open: dict[tuple[str, str], Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,10 +66,12 @@ class Encoder:
         self.known: dict[str, np.ndarray | bytes | int] = {}
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def at(cls, path: str, use: str) -> Encoder:
+        """A worker's encoder for one use: counts and ids are remembered apart."""
+        if (path, use) not in cls._open:
+            cls._open.clear()
+            cls._open[path, use] = cls(path)
+        return cls._open[path, use]
 
     def pieces(self, text: str) -> list[str] | None:
         """The text's pre-tokens, or None if only the tokenizer can tell."""
@@ -149,7 +151,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder.at(path)
+        encoder = Encoder.at(path, "counts")
         for batch in batches:
             for begin, texts in _chunks(batch, 1):
                 tokens = np.array(encoder.count(texts), np.int64)
@@ -306,7 +308,7 @@ def write_token_files(
 
     def run(batches):
         context = TaskContext.get()
-        encoder = Encoder.at(path)
+        encoder = Encoder.at(path, "ids")
         dtype = id_dtype(max(encoder.ids_below, end_id + 1))
         end = np.array([end_id], dtype).tobytes()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
