@@ -32,7 +32,7 @@ LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes of a trigger
 W = LENGTH - GRAM + 1
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Bytes of text behind one bucket of a shuffle, about.
 BUCKET_BYTES = 16_000_000
 #: Mixed runs of one trigger string beyond which their windows are dealt out one by one.
@@ -235,7 +235,7 @@ def _first_map(buckets: int, piece: int):
             keys.append(k)
             runs.append(runs_of(texts, docs, piece))
             docs, held = docs + len(texts), held + len(runs[-1])
-            if held >= 1_000_000:
+            if held >= 300_000:
                 yield from flush(keys, runs)
                 keys, runs, docs, held = [], [], 0, 0
         if held:
@@ -319,7 +319,7 @@ def _second_map(buckets: int, piece: int):
                             window = context[k : k + LENGTH]
                             contexts.setdefault(_short_hash(window) % buckets, []).append((first + doc, at + k, window))
                     held += len(context) if kind == MIXED else n * LENGTH
-                if held >= 24_000_000:
+                if held >= 8_000_000:
                     yield from flush(keys, contexts)
                     keys, contexts, held = [], {}, 0
         if held:
