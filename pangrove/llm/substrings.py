@@ -34,7 +34,7 @@ W = LENGTH - GRAM + 1
 #: Bytes of text that are hashed together; a longer text is hashed alone.
 CHUNK = 500_000
 #: Bytes of text behind one bucket of a shuffle, about.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 #: Mixed runs of one trigger string beyond which their windows are dealt out one by one.
 HOT = 2000
 
