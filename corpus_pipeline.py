@@ -14,8 +14,27 @@ from pangrove.llm import common, decontaminate, mixing, simhash, tokens, toxicit
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row key that is unique even where ids are null or repeated."""
-    return common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
+    """``docs`` with a key: the id, null ids last, and a hash of the whole row.
+
+    Rows with one key are alike in every column; no copy of the texts is
+    written to number them.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    whole = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_hash": whole})
+
+
+KEY = ["_id", "_hash"]
+
+
+def _once_each(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` joined to ``keys``, one row for each key; ``keys`` tells in ``n`` how many rows have it.
+
+    Only the few keys of repeated rows are sorted out by a shuffle of rows.
+    """
+    repeated = common.written(keys.where("n > 1"), "stage-repeated")
+    once = rows.join(keys.where("n = 1"), KEY)
+    return once.unionByName(rows.join(repeated, KEY).dropDuplicates(KEY))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +55,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     fewer.  Documents with null or empty texts are one group.
     """
     rows = _keyed(docs)
-    # Rows are named by (id, row), null ids last, so the least is one row even where ids repeat.
-    named = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("_row").alias("row"))
-    groups = simhash.simhash_groups(rows.select(named.alias("doc_id"), "text"), words=5, lanes=8, radius=84, tile=16384)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").drop("_row")
+    named = F.struct(*KEY).alias("doc_id")
+    groups = simhash.simhash_groups(rows.select(named, "text"), words=5, lanes=8, radius=84, tile=16384)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    first = common.written(first.select("doc_id.*", "n"), "stage-first")
+    return _once_each(rows, first).drop(*KEY, "n")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     rows = _keyed(docs)
-    found = decontaminate.find_leaks(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
-    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").drop("_row")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_leaks(rows.select(F.struct(*KEY).alias("key"), "text"), benchmark, id_col="key")
+    # Written first, so that its size is known: few leaks are broadcast, many are joined by a shuffle.
+    leaks = common.written(found.where("contaminated").select("key.*").distinct(), "stage-leaks")
+    return rows.join(leaks, KEY, "left_anti").drop(*KEY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, at most three times."""
     rows = _keyed(docs)
-    copies = mixing.mix_sources(rows.select("_row", "source", "text"), id_col="_row").select("_row", "copies").where("copies > 0")
-    joined = rows.join(copies, "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_row", "copies", "_copy")
+    taken = mixing.mix_sources(rows.select(F.struct(*KEY).alias("key"), "source", "text"), id_col="key")
+    copies = taken.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    copies = common.written(copies.select("key.*", "copies", "n"), "stage-copies")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return _once_each(rows, copies).withColumn("_copy", each).drop(*KEY, "copies", "n", "_copy")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
