@@ -15,15 +15,36 @@ from pangrove.llm.common import connected_components, least_labels, session_part
 
 #: Vectors in a block of a cell; a task compares two blocks at a time.
 BLOCK = 1024
+#: Steps in which the slack is measured: squared distances of unit vectors reach 4.
+STEP, BINS = 0.01, 401
+#: Probes with links that a calibration takes; links up to which a probe's are few; recall below which the exact bound is kept.
+ENOUGH, FEW, LEAST_RECALL = 300, 8, 0.99
 
 
 @dataclass
 class Index:
-    """Codebooks of the two vector halves, and how far beyond its own cell a query looks."""
+    """Codebooks of the two vector halves, and how far beyond its own cell a query looks.
+
+    ``apart`` is the greatest squared distance of linked vectors.  Without a
+    slack only the exact bound holds, which no link outgrows.  ``recall`` was
+    measured on probes that did not set the slack.
+    """
 
     first: np.ndarray
     second: np.ndarray
-    slack: float
+    slack: float | None
+    apart: float
+    recall: float | None = None
+
+    def most(self, own: np.ndarray) -> np.ndarray:
+        """The squared distance up to which a query looks whose own cell lies at ``own``.
+
+        A link's cell center is no farther from the link than the query's own
+        center is, so no farther from the query than its own center and twice
+        the link's distance.
+        """
+        exact = (np.sqrt(own) + 2 * np.sqrt(max(0.0, self.apart))) ** 2 + 1e-6
+        return np.round(exact if self.slack is None else np.minimum(own + self.slack, exact), 9)
 
     def costs(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of each half to each of its codebook's entries."""
@@ -37,11 +58,11 @@ class Index:
     def visits(self, a: np.ndarray, b: np.ndarray) -> list[int]:
         """Cells in order of distance, by multi-sequence traversal, as far as the slack goes."""
         i, j = a.argsort(kind="stable"), b.argsort(kind="stable")
-        most = round(a[i[0]] + b[j[0]] + self.slack, 9)
+        most = self.most(a[i[0]] + b[j[0]])
         heap, seen, out = [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}, []
         while heap:
             cost, x, y = heapq.heappop(heap)
-            if round(cost, 9) > most:
+            if np.round(cost, 9) > most:
                 break
             out.append(int(i[x]) * len(self.second) + int(j[y]))
             for u, v in ((x + 1, y), (x, y + 1)):
@@ -74,44 +95,74 @@ def _valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _recall_slack(classes: DataFrame, index: Index, queries: np.ndarray, threshold: float, target: float) -> float:
-    """The slack that reaches ``target`` of the links of ``queries``, found by brute force over all rows.
+def _link_reach(classes: DataFrame, index: Index, cls: np.ndarray, probes: np.ndarray, threshold: float) -> np.ndarray:
+    """How far beyond each probe's own cell its links' cells lie, by brute force over all rows.
 
-    Each task returns a histogram of how far beyond the query's own cell the
-    link's cell lies; a hundred numbers, whatever the rows.
+    An array of (even or odd probes, many or few links, steps beyond).  A probe
+    with links counts once, however many they are, so a large group never
+    outweighs the small ones.
     """
-    packed = pickle.dumps((index, queries))
-    step = 0.01
+    packed = pickle.dumps((index, cls, probes))
 
     def run(batches):
-        index, queries = pickle.loads(packed)
-        own = [c.min(1) for c in index.costs(queries)]
-        qa, qb = index.costs(queries)
-        bins = np.zeros(401, np.int64)
+        index, cls, probes = pickle.loads(packed)
+        qa, qb = index.costs(probes)
+        own = qa.min(1) + qb.min(1)
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
-                unit = _unit(batch.column(0)[k : k + 2048].to_pylist())
-                q, x = np.nonzero(queries @ unit.T >= threshold)
-                cell = index.own(*index.costs(unit))[x]
-                extra = qa[q, cell // len(index.second)] + qb[q, cell % len(index.second)] - own[0][q] - own[1][q]
-                bins += np.bincount(np.clip(np.ceil(extra / step), 0, 400).astype(int), minlength=401)
-        yield pa.RecordBatch.from_arrays([pa.array(range(401), pa.int32()), pa.array(bins)], names=["bin", "n"])
-
-    rows = classes.select("blob").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(401)
-    for r in rows:
-        n[r.bin] = r.n
-    # Each query finds itself in its own cell; that says nothing about recall.
-    n[0] = max(0, n[0] - len(queries))
-    reach = int(np.searchsorted(np.cumsum(n), target * n.sum())) if n.sum() else 0
-    return step * (reach + 2)
-
-
-def fit_index(classes: DataFrame, threshold: float, sample: int = 8000, probes: int = 256, target: float = 0.999, seed: int = 5) -> Index | None:
-    """An index fitted on ``sample`` vectors at most (those of least hash), calibrated on ``probes`` of them.
+                part = batch.slice(k, 2048)
+                unit, other = _unit(part.column(0).to_pylist()), part.column(1).to_numpy()
+                cell = index.own(*index.costs(unit))
+                keys = []
+                for first in range(0, len(probes), 2048):
+                    q, x = np.nonzero(probes[first : first + 2048] @ unit.T >= threshold)
+                    q += first
+                    q, x = q[cls[q] != other[x]], x[cls[q] != other[x]]
+                    extra = qa[q, cell[x] // len(index.second)] + qb[q, cell[x] % len(index.second)] - own[q]
+                    keys.append(q * BINS + np.clip(np.ceil(extra / STEP), 0, BINS - 1).astype(np.int64))
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // BINS), pa.array(key % BINS), pa.array(n)], names=["probe", "bin", "n"])
+
+    each = classes.select("blob", "cls").mapInArrow(run, "probe bigint, bin bigint, n bigint").groupBy("probe", "bin").agg(F.sum("n").alias("n"))
+    each = written(each, "vector-probes")
+    share = each.join(each.groupBy("probe").agg(F.sum("n").alias("links")), "probe")
+    sides = ((F.col("probe") % 2).alias("odd"), (F.col("links") <= FEW).cast("int").alias("few"), "bin")
+    out = np.zeros((2, 2, BINS))
+    for r in share.groupBy(*sides).agg(F.sum(F.col("n") / F.col("links")).alias("n")).collect():
+        out[r.odd, r.few, r.bin] = r.n
+    return out
+
+
+def _calibrate(reach: np.ndarray, whole: bool, target: float) -> tuple[float | None, float | None]:
+    """The slack and its recall on probes that did not set it; no slack where the probes do not support one.
+
+    ``whole`` tells that every row is a probe: then the farthest link is known.
+    """
+    if whole:
+        bins = np.flatnonzero(reach.sum(axis=(0, 1)))
+        return STEP * (int(bins.max(initial=0)) + 1), 1.0
+    if reach[0].sum() < ENOUGH - 0.5:
+        return None, None
+    most = 0
+    for side in reach[0]:  # many links and few apart: neither sets the other's slack
+        if side.sum() >= ENOUGH - 0.5:
+            most = max(most, int(np.searchsorted(np.cumsum(side), target * side.sum())))
+        elif side.any():
+            most = max(most, int(np.flatnonzero(side).max()))
+    recall = min((side[: most + 1].sum() / side.sum() for side in reach[1] if side.any()), default=None)
+    return (None, recall) if recall is None or recall < LEAST_RECALL else (STEP * (most + 1), recall)
+
+
+def fit_index(
+    classes: DataFrame, threshold: float, sample: int = 8000, probes: int = 2048, most_probes: int = 16384, target: float = 0.999, seed: int = 5
+) -> Index | None:
+    """An index fitted on ``sample`` vectors at most (those of least hash), calibrated on probes of greatest hash.
 
     The codebooks have about the square root of a hundredth of the rows each,
     256 at most, so a cell of the product grid holds about a hundred rows.
+    Where ``probes`` show too few with links, ``most_probes`` (or 64 MB of
+    them) are taken; where these show too few as well, the index keeps to the
+    exact bound.
     """
     rows = classes.count()
     some = [r.blob for r in classes.orderBy(F.xxhash64("blob"), "cls").limit(sample).select("blob").collect()]
@@ -120,8 +171,16 @@ def fit_index(classes: DataFrame, threshold: float, sample: int = 8000, probes:
     unit = _unit(some)
     k = max(1, min(256, int(np.sqrt(rows / 100)), len(unit) // 8 or 1))
     half = unit.shape[1] // 2
-    index = Index(_k_means(unit[:, :half], k, seed), _k_means(unit[:, half:], k, seed + 1), 0.0)
-    index.slack = _recall_slack(classes, index, unit[:probes], threshold, target)
+    index = Index(_k_means(unit[:, :half], k, seed), _k_means(unit[:, half:], k, seed + 1), None, 2 - 2 * threshold)
+    del some, unit
+    most_probes = min(most_probes, max(256, 64_000_000 // (16 * half + 8)))
+    last = classes.orderBy(F.xxhash64("blob").desc(), "cls").limit(most_probes).select("blob", "cls").collect()
+    cls, unit = np.array([r.cls for r in last], np.int64), _unit([r.blob for r in last])
+    for n in sorted({min(probes, len(unit)), len(unit)}):
+        reach = _link_reach(classes, index, cls[:n], unit[:n], threshold)
+        if reach.sum(axis=(1, 2)).min() >= ENOUGH - 0.5 and n < rows:
+            break
+    index.slack, index.recall = _calibrate(reach, n == rows, target)
     return index
 
 
@@ -140,7 +199,7 @@ def _search(index: Index, threshold: float, q: dict, m: dict) -> tuple[np.ndarra
     ma, mb = index.costs(mu)
     home = index.own(qa, qb)
     n2 = len(index.second)
-    far = np.round(ma[j, home[i] // n2] + mb[j, home[i] % n2], 9) > np.round(ma.min(1) + mb.min(1) + index.slack, 9)[j]
+    far = np.round(ma[j, home[i] // n2] + mb[j, home[i] % n2], 9) > index.most(ma.min(1) + mb.min(1))[j]
     count_m = np.bincount(j[far], qn[i[far]], len(mn))
     ids = np.concatenate([q["cls"], m["cls"]]).astype(np.int64)
     label = least_labels(len(ids), i, len(qn) + j)
@@ -155,8 +214,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "
     or more.  Equal vectors are one class, so copies never meet in pairs.  An
     inverted multi-index files each class in one cell of a product grid; each
     searches its nearest cells in turn until the target recall, which is
-    calibrated by brute force on a probe of queries over all rows, and verifies
-    what it finds.  A link counts for both ends, whichever found it.  Cells are
+    calibrated by brute force on probes over all rows, each with links counted
+    once, and verifies what it finds.  Where probes with links are too few, it
+    searches as far as a link can lie.  A link counts for both ends, whichever found it.  Cells are
     cut into blocks, so a large group is many pairs of blocks, each reduced to
     counts and a forest at once.
 

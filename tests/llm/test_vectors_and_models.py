@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from pangrove.llm import decontaminate, quality, toxicity
-from pangrove.llm.embeddings import embedding_groups
+from pangrove.llm.embeddings import BINS, STEP, Index, _calibrate, embedding_groups
 
 
 def test_embeddings(spark):
@@ -44,6 +44,42 @@ def test_embeddings(spark):
     assert embedding_groups(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_rare_links_across_cells(spark):
+    """Links of 40 vectors in 4,000, and one tight group of a third: all are found."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(4000, 32)))
+    side = rng.normal(size=(40, 32))
+    side = unit(side - (side * base[:40]).sum(1, keepdims=True) * base[:40])
+    near = 0.91 * base[:40] + np.sqrt(1 - 0.91**2) * side
+    group = unit(base[-1] + 0.001 * rng.normal(size=(1500, 32)))
+    for vectors in (np.concatenate([base, near]), np.concatenate([base, near, group])):
+        rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+        got = {r.vec_id: r.n_links for r in embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+        u = unit(vectors)
+        assert [got[k] for k in range(len(rows))] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
+def test_calibration():
+    reach = np.zeros((2, 2, BINS))
+    assert _calibrate(reach, False, 0.999) == (None, None)  # no links seen: the exact bound
+    reach[:, 0, 1] = 5000
+    reach[:, 1, 40] = 400  # few against many, yet they set their own slack
+    slack, recall = _calibrate(reach, False, 0.999)
+    assert slack >= 40 * STEP and recall == 1
+    reach[1, 1, 90] = 100
+    assert _calibrate(reach, False, 0.999)[0] is None  # recall on other probes is too low
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x = np.concatenate([x, x + 0.1 * rng.normal(size=x.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = Index(x[:30, :8].copy(), x[:30, 8:].copy(), None, 0.2)
+    a, b = index.costs(x)
+    cell = index.own(a, b)
+    seen = [set(index.visits(i, j)) for i, j in zip(a, b)]
+    assert all(cell[j] in seen[i] for i, j in zip(*np.nonzero(x @ x.T >= 0.9)))
+
+
 def prose(rng, n, extra=()):
     words = [rng.choice(["the", "of", "then", "ation", "inger", "reth", "thon", "ed"]) + rng.choice(["", "er", "an", "in", ","]) for _ in range(n)]
     for w in extra:
