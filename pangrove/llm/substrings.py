@@ -184,7 +184,8 @@ def _by_doc(
 ) -> list[tuple[int, int, int, bytes]]:
     """Rows (bucket, id, mark, spans) with each document's spans: first window, windows, kind.
 
-    The bucket is PLAIN or WITH_MIXED, or one of ``spread`` others below.
+    The bucket is PLAIN or WITH_MIXED, or one of ``spread`` others below, by
+    document and place in the task: copies of one text never meet in one.
     """
     spans = np.zeros(len(doc), SPAN)
     spans["at"], spans["n"], spans["kind"] = at, n, kind
@@ -194,7 +195,7 @@ def _by_doc(
     ends = np.append(heads[1:], len(doc))
     return [
         (
-            -10 - int(keys["mark"][doc[h]]) % spread if spread else WITH_MIXED if spans["kind"][h:e].any() else PLAIN,
+            -10 - (int(keys["mark"][doc[h]]) + int(keys["id"][doc[h]]) + h) % spread if spread else WITH_MIXED if spans["kind"][h:e].any() else PLAIN,
             int(keys["id"][doc[h]]), int(keys["mark"][doc[h]]), spans[h:e].tobytes(),
         )
         for h, e in zip(heads.tolist(), ends.tolist())
@@ -244,41 +245,57 @@ def _first_map(buckets: int, piece: int):
     return run
 
 
-def _first_reduce(batches, hottest: int) -> Iterator[pa.RecordBatch]:
+def _passed_on(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of repeats that a task found by itself: they only lose their bucket."""
+    for batch in batches:
+        yield batch.set_column(0, "bucket", pa.array(np.full(batch.num_rows, PLAIN)))
+
+
+def _first_reduce(batches: list[pa.RecordBatch], hottest: int) -> Iterator[pa.RecordBatch]:
     """A bucket's runs together: repeats, and the earliest runs of triggers with several contexts."""
+    keys, runs, docs = [], [], 0
     for batch in batches:
-        if batch.column("bucket")[0].as_py() < 0:  # repeats found in the first step, on their way
-            yield batch.set_column(0, "bucket", pa.array(np.full(batch.num_rows, PLAIN)))
-            continue
-        keys, runs, docs = [], [], 0
-        for n, blob in zip(batch.column("id").to_pylist(), batch.column("blob").to_pylist()):
+        for n, blob in zip(batch.column("id").to_pylist(), batch.column("blob")):
+            blob = blob.as_py()
             keys.append(np.frombuffer(blob, [("id", "<i8"), ("mark", "<i8")], n))
             mine = np.frombuffer(blob, RUN, offset=16 * n).copy()
             mine["doc"] += docs
             docs += n
             runs.append(mine)
-        if not runs:
-            continue
-        keys, runs = np.concatenate(keys), np.concatenate(runs)
-        order, later = _repeats([runs["g"], runs["f1"], runs["f2"]], keys["id"][runs["doc"]], keys["mark"][runs["doc"]], runs["at"].astype(np.int64))
-        runs = runs[order]
-        first = np.ones(len(runs), bool)
-        first[1:] = (runs["g"][1:] != runs["g"][:-1]) | (runs["f1"][1:] != runs["f1"][:-1]) | (runs["f2"][1:] != runs["f2"][:-1])
-        heads = runs[first]
-        _, group, count = np.unique(heads["g"], return_inverse=True, return_counts=True)
-        mixed, hot = count[group] > 1, count[group] > hottest
-        out = np.concatenate([runs[later], heads[mixed]])
-        kind = np.concatenate([np.full(later.sum(), REPEAT), np.where(hot[mixed], MIXED_HOT, MIXED)])
-        rows = _by_doc(keys, out["doc"].astype(np.int64), out["at"], out["n"], kind)
-        for k in range(0, len(rows), 2000):
-            yield _emit(rows[k : k + 2000])
+    if not runs:
+        return
+    keys, runs = np.concatenate(keys), np.concatenate(runs)
+    order, later = _repeats([runs["g"], runs["f1"], runs["f2"]], keys["id"][runs["doc"]], keys["mark"][runs["doc"]], runs["at"].astype(np.int64))
+    runs = runs[order]
+    first = np.ones(len(runs), bool)
+    first[1:] = (runs["g"][1:] != runs["g"][:-1]) | (runs["f1"][1:] != runs["f1"][:-1]) | (runs["f2"][1:] != runs["f2"][:-1])
+    heads = runs[first]
+    _, group, count = np.unique(heads["g"], return_inverse=True, return_counts=True)
+    mixed, hot = count[group] > 1, count[group] > hottest
+    out = np.concatenate([runs[later], heads[mixed]])
+    kind = np.concatenate([np.full(later.sum(), REPEAT), np.where(hot[mixed], MIXED_HOT, MIXED)])
+    rows = _by_doc(keys, out["doc"].astype(np.int64), out["at"], out["n"], kind)
+    for k in range(0, len(rows), 2000):
+        yield _emit(rows[k : k + 2000])
 
 
 def _second_map(buckets: int, piece: int):
-    """Contexts of a task's mixed runs, dealt by trigger; those of hot triggers window by window."""
+    """Contexts of a task's mixed runs, dealt by trigger; those of hot triggers window by window.
+
+    Of equal windows of hot triggers only the earliest goes on.
+    """
 
-    def flush(keys, contexts) -> Iterator[pa.RecordBatch]:
+    def flush(keys, contexts, windows) -> Iterator[pa.RecordBatch]:
+        gone = []
+        for window, places in windows.items():
+            first = min(places, key=lambda x: (keys[x[0]], x[1]))
+            gone += [x for x in places if (keys[x[0]], x[1]) != (keys[first[0]], first[1])]
+            contexts.setdefault(_short_hash(window) % buckets, []).append((*first, window))
         rows = []
+        if gone:
+            doc, at = np.array(gone, np.int64).T
+            table = np.array(keys, [("id", "<i8"), ("mark", "<i8")])
+            rows = _by_doc(table, doc, at, np.ones(len(gone), np.int64), np.full(len(gone), REPEAT), buckets)
         for bucket, items in contexts.items():
             docs = sorted({d for d, _, _ in items})
             number = {d: k for k, d in enumerate(docs)}
@@ -290,7 +307,7 @@ def _second_map(buckets: int, piece: int):
             yield _emit(rows[k : k + 50])
 
     def run(batches):
-        keys, contexts, held = [], {}, 0
+        keys, contexts, windows, held = [], {}, {}, 0
         for batch in batches:
             begin = 0
             while begin < batch.num_rows:
@@ -317,13 +334,13 @@ def _second_map(buckets: int, piece: int):
                     else:
                         for k in range(n):
                             window = context[k : k + LENGTH]
-                            contexts.setdefault(_short_hash(window) % buckets, []).append((first + doc, at + k, window))
+                            windows.setdefault(window, []).append((first + doc, at + k))
                     held += len(context) if kind == MIXED else n * LENGTH
                 if held >= 8_000_000:
-                    yield from flush(keys, contexts)
-                    keys, contexts, held = [], {}, 0
+                    yield from flush(keys, contexts, windows)
+                    keys, contexts, windows, held = [], {}, {}, 0
         if held:
-            yield from flush(keys, contexts)
+            yield from flush(keys, contexts, windows)
 
     return run
 
@@ -332,11 +349,12 @@ def _short_hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=7).digest(), "little")
 
 
-def _second_reduce(batches) -> Iterator[pa.RecordBatch]:
+def _second_reduce(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's windows together: each that also starts earlier."""
+    keys, heads, datas, docs = [], [], [], 0
     for batch in batches:
-        keys, heads, datas, docs = [], [], [], 0
-        for n, m, blob in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("blob").to_pylist()):
+        for n, m, blob in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("blob")):
+            blob = blob.as_py()
             kind = np.dtype([("doc", "<u4"), ("at", "<u4"), ("size", "u1")])
             keys.append(np.frombuffer(blob, [("id", "<i8"), ("mark", "<i8")], n))
             head = np.frombuffer(blob, kind, m, offset=16 * n).copy()
@@ -344,33 +362,36 @@ def _second_reduce(batches) -> Iterator[pa.RecordBatch]:
             docs += n
             heads.append(head)
             datas.append(blob[16 * n + kind.itemsize * m :])
-        if not heads:
-            continue
-        keys, head = np.concatenate(keys), np.concatenate(heads)
-        data = np.frombuffer(b"".join(datas), np.uint8)
-        size = head["size"].astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        n = size - LENGTH + 1
-        inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        place = np.repeat(begin, n) + inner
-        hashes = Hashes(data)
-        h = [hashes.of(k, place, place + LENGTH) for k in range(2)]
-        doc, at = np.repeat(head["doc"].astype(np.int64), n), np.repeat(head["at"].astype(np.int64), n) + inner
-        order, later = _repeats(h, keys["id"][doc], keys["mark"][doc], at)
-        gone = order[later]
-        rows = _by_doc(keys, doc[gone], at[gone], np.ones(len(gone), np.int64), np.full(len(gone), REPEAT))
-        for k in range(0, len(rows), 2000):
-            yield _emit(rows[k : k + 2000])
+    if not heads:
+        return
+    keys, head = np.concatenate(keys), np.concatenate(heads)
+    data = np.frombuffer(b"".join(datas), np.uint8)
+    size = head["size"].astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    n = size - LENGTH + 1
+    inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    place = np.repeat(begin, n) + inner
+    hashes = Hashes(data)
+    h = [hashes.of(k, place, place + LENGTH) for k in range(2)]
+    doc, at = np.repeat(head["doc"].astype(np.int64), n), np.repeat(head["at"].astype(np.int64), n) + inner
+    order, later = _repeats(h, keys["id"][doc], keys["mark"][doc], at)
+    gone = order[later]
+    rows = _by_doc(keys, doc[gone], at[gone], np.ones(len(gone), np.int64), np.full(len(gone), REPEAT))
+    for k in range(0, len(rows), 2000):
+        yield _emit(rows[k : k + 2000])
 
 
-def _grouped(shuffled: DataFrame, function) -> DataFrame:
-    """``function`` on each bucket's rows together: a bucket holds a fixed share of the hashes."""
+def _reduced(table: pa.Table, function) -> pa.Table:
+    """``function`` on all batches of a bucket together, however many hold it."""
+    batches = [b for b in table.to_batches() if b.num_rows]
+    passed = bool(batches) and batches[0].column("bucket")[0].as_py() < 0
+    done = list(_passed_on(batches) if passed else function(batches))
+    return pa.Table.from_batches(done) if done else _emit([]).schema.empty_table()
 
-    def run(table: pa.Table) -> pa.Table:
-        done = list(function(table.combine_chunks().to_batches()[:1]))
-        return pa.Table.from_batches(done) if done else _emit([]).schema.empty_table()
 
-    return shuffled.groupBy("bucket").applyInArrow(run, SCHEMA)
+def _grouped(shuffled: DataFrame, function) -> DataFrame:
+    """``function`` on each bucket's rows together: a bucket holds a fixed share of the hashes."""
+    return shuffled.groupBy("bucket").applyInArrow(lambda table: _reduced(table, function), SCHEMA)
 
 
 #: Bits of the filter that spares texts without mixed runs a shuffle: 1 MB, whatever the input.

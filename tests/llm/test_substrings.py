@@ -1,6 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pangrove.llm import substrings
@@ -65,3 +68,24 @@ def test_equal_windows_share_triggers():
         for i in range(r[4], r[4] + r[5]):
             where.setdefault(texts[r[3]][i : i + 100], set()).add(r[0])
     assert all(len(g) == 1 for g in where.values())
+
+
+def test_every_batch_of_a_bucket_counts():
+    """Runs that come in several batches are compared across them; repeats on their way are all handed on."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
+    keys = np.array([(1, 5), (2, 5)], [("id", "<i8"), ("mark", "<i8")])
+    blobs = [substrings._pack(keys[k : k + 1], substrings.runs_of([text])) for k in (0, 1)]
+    table = pa.Table.from_batches([substrings._emit([(3, 1, 0, b)]) for b in blobs])
+    got = substrings._reduced(table, lambda b: substrings._first_reduce(b, 2000)).to_pylist()
+    assert [(r["id"], r["mark"]) for r in got] == [(2, 5)] and sum(np.frombuffer(got[0]["blob"], substrings.SPAN)["n"]) == 301
+    table = pa.Table.from_batches([substrings._emit([(-12, k, 5, b"x")]) for k in range(4)])
+    got = substrings._reduced(table, substrings._second_reduce).to_pylist()
+    assert [r["id"] for r in got] == [0, 1, 2, 3] and {r["bucket"] for r in got} == {substrings.PLAIN}
+
+
+def test_copies_are_dealt_over_buckets():
+    keys = np.array([(k, 5) for k in range(1000)], [("id", "<i8"), ("mark", "<i8")])
+    one = np.ones(1000, np.int64)
+    buckets = Counter(r[0] for r in substrings._by_doc(keys, np.arange(1000), one, one, 0 * one, 10))
+    assert len(buckets) > 4 and max(buckets.values()) < 400
