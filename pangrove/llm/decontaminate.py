@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8  # characters (bytes) in a q-gram: one machine word
-SEGMENT, STRIDE = 96, 48  # longer items are cut into overlapping segments
-LEAST = 24  # items shorter than this are not looked for
+SEGMENT, STRIDE = 96, 8  # longer items are cut into segments; a passage of 103 bytes holds one whole, wherever it begins
+LEAST = 24  # items shorter than this are looked for exactly
+WHOLE = 120  # items shorter than this are also looked for whole
 EDITS_IN = 16  # one edit is allowed for as many characters
-BLOCK_BYTES = 4_000_000  # of benchmark text in one pass over the documents, about
+BLOCK_BYTES = 700_000  # of benchmark text in one pass over the documents, about
 GAP = b"\x00" * 16
 
 #: A-Z become a-z and every ASCII blank a space; lengths and places stay.
@@ -41,19 +42,27 @@ class Patterns:
         self.item, self.begin, self.text = [], [], []
         for item, text in items:
             data = plain(text)
-            if len(data) < LEAST:
+            if not data.strip():
                 continue
             last = max(0, len(data) - SEGMENT)
-            starts = range(0, 1) if len(data) < SEGMENT + STRIDE // 2 else sorted({*range(0, last, STRIDE), last})
-            for s in starts:
+            parts = [(s, data[s : s + SEGMENT]) for s in sorted({*range(0, last, STRIDE), last})]
+            for s, part in [*parts, (0, data)] if SEGMENT < len(data) < WHOLE else parts:
                 self.item.append(item)
                 self.begin.append(s)
-                self.text.append(data if len(starts) == 1 else data[s : s + SEGMENT])
+                self.text.append(part)
         self.size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = self.size // EDITS_IN
+        short = self.size < LEAST
+        self.edits = np.where(short, 0, self.size // EDITS_IN)
         #: The lemma: a region within ``e`` edits of a pattern of ``m`` shares m + 1 - q (e + 1) q-grams.
-        self.shared = np.maximum(1, self.size + 1 - Q * (self.edits + 1))
-        grams = [_grams(np.frombuffer(t, np.uint8)) for t in self.text]
+        self.shared = np.where(short, 1 << 30, np.maximum(1, self.size + 1 - Q * (self.edits + 1)))
+        grams = [_grams(np.frombuffer(b"" if s else t, np.uint8)) for t, s in zip(self.text, short)]
+        #: Short patterns by length: their numbers, in the order of their first word, and these words.
+        self.short = {}
+        for m in np.unique(self.size[short]).tolist():
+            mine = np.flatnonzero(self.size == m)
+            words = np.array([int.from_bytes(self.text[k][:Q], "little") for k in mine], np.uint64)
+            order = np.argsort(words, kind="stable")
+            self.short[m] = mine[order], words[order]
         all_grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -120,14 +129,38 @@ class Patterns:
                 end[part] = first + row.argmin(axis=1) + m
         return best, end
 
+    def exact(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Short patterns and the places where they stand."""
+        owners, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        words = _grams(np.concatenate([data, np.zeros(Q - 1, np.uint8)])) if self.short else None
+        for m, (mine, first) in self.short.items():
+            word = words & np.uint64((1 << 8 * min(m, Q)) - 1)
+            seen = np.zeros(1 << 16, bool)
+            seen[_slot(first, 16)] = True
+            at = np.flatnonzero(seen[_slot(word, 16)])
+            at = at[at + m <= len(data)]
+            lo, hi = np.searchsorted(first, word[at], "left"), np.searchsorted(first, word[at], "right")
+            n = hi - lo
+            k = mine[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
+            at = np.repeat(at, n)
+            for i in range(Q, m):
+                byte = np.array([self.text[x][i] for x in mine], np.uint8)
+                order = np.argsort(mine)
+                good = data[at + i] == byte[order][np.searchsorted(mine[order], k)]
+                k, at = k[good], at[good]
+            owners.append(k)
+            places.append(at)
+        return np.concatenate(owners), np.concatenate(places)
+
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """``(text, pattern, begin, end, edits)`` of verified regions, for texts that are searched together."""
         joined = GAP.join(texts)
         data = np.frombuffer(joined, np.uint8)
         owner, low = self.regions(data)
-        if not len(owner):
-            return
         starts = np.cumsum([0] + [len(t) + len(GAP) for t in texts])
+        for k, at in zip(*(x.tolist() for x in self.exact(data))):
+            doc = int(np.searchsorted(starts, at, "right")) - 1
+            yield doc, k, int(at - starts[doc]), int(at - starts[doc] + self.size[k]), 0
         edits, end = self.distances(data, owner, low)
         for k in np.flatnonzero(edits <= self.edits[owner]):
             doc = int(np.searchsorted(starts, end[k] - 1, "right")) - 1
@@ -138,12 +171,13 @@ class Patterns:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``(id, contaminated, n_regions, items, least_edits)`` for every row of ``docs``.
 
-    An item (its overlapping segments of 96 characters, if it is longer) leaks
-    into a document where a region lies within one edit in 16 characters of it,
-    letter case and kinds of blanks aside.  Regions come from the q-gram lemma:
+    An item (its segments of 96 characters from every eighth place, if it is
+    longer) leaks into a document where a region lies within one edit in 16
+    characters of it, letter case and kinds of blanks aside; so any passage of
+    103 bytes is found, wherever it begins.  Regions come from the q-gram lemma:
     shared q-grams are counted in overlapping diagonal bands, bands that keep
     the bound are verified by banded alignment, so none within the budget is
-    missed.  Items under 24 bytes are not looked for.
+    missed.  Items under 24 bytes are looked for exactly.
 
     The benchmark is taken in blocks of about ``BLOCK_BYTES`` of text, dealt by
     hash; only one block at a time is sent to the tasks, so the benchmark can

@@ -166,3 +166,17 @@ def test_leaks(spark):
     assert sum(map(bool, want.values())) > 15
     assert decontaminate.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_leaked_passages_and_short_items(spark):
+    """Any 103 bytes of a longer item leak, whatever their offset; items under 24 bytes by exact match."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    long, middle = (" ".join(word(5) for _ in range(n))[:m] for n, m in ((60, 350), (20, 112)))
+    items = [(1, long), (2, middle), (3, "Zqx 17"), (4, "zebra zz quux 99 yes"), (5, " "), (6, "zebra zz 00")]
+    rows = [(k, prose(rng, 10) + long[k : k + 103] + prose(rng, 10), [1]) for k in range(0, 247)]
+    rows += [(300 + k, prose(rng, 10) + middle[k : k + 103] + prose(rng, 10), [2]) for k in range(9)]
+    rows += [(400, "the zqx\t17 of", [3]), (401, "zebra zz quux 99 yeS", [4]), (402, "zebra zz quux 98 yes zqx 1", []), (403, "zebra zz 00", [6]), (404, "zebra zz 0", []), (405, "", [])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {d: want for d, _, want in rows}
