@@ -48,15 +48,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of the least id.
+    """One document of each group of near copies: the one of the least id.
 
-    Shingles of five words; fingerprints of 512 bits, which differ in about 78
-    where the shingle sets have a Jaccard similarity of 0.8, link at 84 or
-    fewer.  Documents with null or empty texts are one group.
+    Documents link where their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more; SimHash finds the candidates, which are checked
+    on the sets.  Documents with null or empty texts are one group.
     """
     rows = _keyed(docs)
     named = F.struct(*KEY).alias("doc_id")
-    groups = simhash.simhash_groups(rows.select(named, "text"), words=5, lanes=8, radius=84, tile=16384)
+    groups = simhash.near_copy_groups(rows.select(named, "text"), words=5, similarity=0.8)
     first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     first = common.written(first.select("doc_id.*", "n"), "stage-first")
     return _once_each(rows, first).drop(*KEY, "n")

@@ -3,6 +3,7 @@ import re
 
 import xxhash
 
+import corpus_pipeline
 from pangrove.llm import simhash
 from pangrove.llm.common import connected_components
 
@@ -104,3 +105,35 @@ def test_wide(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, words=5, lanes=8, radius=84, tile=16).collect()}
     assert [got[d] for d, _ in rows] == want
+
+
+def test_near_copies_by_exact_jaccard(spark):
+    """Pairs about similarity 0.8, repeated lines, short texts, chains and a large group, against all pairs."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(60):  # one stretch of 9 to 34 words changed in 104: similarity 0.77 to 0.6 and up
+        base = words(104)
+        texts += [base, base[: 95 - k % 15] + words(9 + k % 15)]
+    line = words(6)
+    texts += [line * 100 + words(20), line * 100 + words(20)]  # alike only by repeats
+    for n in (8, 9, 10, 13):
+        texts += [base := words(n), base[:-1], base[1:]]
+    base = words(300)
+    for _ in range(60):
+        k = rng.randrange(300)
+        texts.append(base[:k] + words(1) + base[k + 1 :])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, None), (901, ""), (902, " ")]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ((t or "").split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((label[i], label[j]))
+                label = [a if z == b else z for z in label]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(docs, tile=64).collect()}
+    assert [got[d] for d, _ in rows] == [rows[z][0] for z in label]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {d for d, z in got.items() if d == z}
+    assert simhash.near_copy_groups(docs.limit(0)).count() == 0
