@@ -254,6 +254,16 @@ def order_overlaps(spark, sf_dir):
     )
 
 
+def line_overlaps(spark, sf_dir):
+    """Overlaps of every haplotype's nodes with the reference's, by line: ``order_overlaps`` of the whole graph."""
+    off = place.offset_steps(derived_graph(spark, sf_dir))
+    spans = off.select(names.reference_name(F.col("name")).alias("seq"), F.col("offset").alias("start_pos"), (F.col("offset") + F.col("length")).alias("end_pos"), "name", "node")
+    pairs = intervals.overlapping(spans.where("name not like 'R#%'"), spans.where("name like 'R#%'"), 128)
+    return pairs.groupBy("name", "seq").agg(
+        F.count("*").alias("n"), F.sum(F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")).cast("bigint").alias("bp")
+    )
+
+
 def copy_number(spark, sf_dir):
     return metrics.copy_number(_tiled(spark, sf_dir))
 
@@ -309,6 +319,13 @@ def customer_components(spark, sf_dir):
     return connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
+def lineitem_components(spark, sf_dir):
+    """Components of parts joined by orders, of every row of lineitem."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    edges = l.select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1_000_000_000).alias("b"))
+    return connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
+
+
 def coarse_tier(spark, sf_dir):
     """The graph with variants under 20 bp folded away, as segments."""
     graph, placed = _graph(spark, sf_dir)
@@ -337,7 +354,7 @@ QUERIES = {
         carrier_sets, sample_bits, graph_hash, path_lengths, name_parts, allele_text, tile_table, stable_placement, walk_pieces, departures, departure_kinds,
         departure_blocks, departures_in_window, departure_own_tiles, window_walks, event_holes, order_overlaps, copy_number, order_visits, link_traffic,
         untraversed_links, tile_costs, tile_cost_quantiles, costliest_tiles, width_histogram, line_collisions, customer_components, coarse_tier, allele_inventory, direct_deletions,
-        encoded_tiles,
+        encoded_tiles, line_overlaps, lineitem_components,
     )
 }
 
