@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
 from pangrove.operators.components import connected_components
-from pangrove.plans.storage import checkpointed, shared_dir
+from pangrove.plans.storage import checkpointed, discard, release, remove, shared_dir, written
 
-__all__ = ["checkpointed", "connected_components", "forest", "least_labels", "session_partitions", "shared_dir", "written"]
+__all__ = [
+    "checkpointed", "connected_components", "discard", "forest", "least_labels", "release", "remove", "session_partitions", "shared_dir", "store", "written",
+]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    Cuts the lineage, survives lost executors, and makes what follows read
-    the same rows even where the plan above is not deterministic.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and a path in it, of a local path or a URI."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 def session_partitions(spark: SparkSession) -> int:

@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +169,57 @@ class Patterns:
             yield doc, int(owner[k]), max(0, stop - int(self.size[owner[k]])), stop, int(edits[k])
 
 
+def _portions(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[bytes]]:
+    """Plain texts in portions of about ``most`` bytes."""
+    some, total = [], 0
+    for text in texts:
+        some.append(plain(text or ""))
+        total += len(some[-1])
+        if total >= most:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
+
+
+def _blocks(benchmark: DataFrame, text_col: str, item_col: str) -> Iterator[bytes]:
+    """The benchmark in pickled blocks of about ``BLOCK_BYTES`` of text, dealt by hash."""
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    for block in range(blocks):
+        yield pickle.dumps([(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()])
+
+
+def _is_clean(packed: bytes):
+    """A column function: whether a text holds no region of a block of the benchmark."""
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patterns = Patterns(pickle.loads(packed))
+        for texts in parts:
+            good = []
+            for some in _portions(texts.tolist()):
+                leaky = {m[0] for m in patterns.matches(some)}
+                good += [k not in leaky for k in range(len(some))]
+            yield pd.Series(good, dtype=bool)
+
+    return clean
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``find_leaks`` finds no region.
+
+    Each block of the benchmark is a filter over what the blocks before it
+    kept, so texts are neither shuffled nor joined back.  Null and empty texts
+    stay; repeated rows and null ids come out as they came in, whatever the
+    other columns are called; empty tables are fine.
+    """
+    for packed in _blocks(benchmark, text_col, item_col):
+        docs = docs.where(_is_clean(packed)(F.col(text_col).cast("string")))
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``(id, contaminated, n_regions, items, least_edits)`` for every row of ``docs``.
 
@@ -184,28 +236,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     grow.  Null and empty texts on either side match nothing; null ids and
     repeated rows come out as they came in; empty tables are fine.
     """
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    blocks = list(_blocks(benchmark, text_col, item_col))
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     out = out.withColumn("items", F.expr("cast(array() as array<bigint>)")).withColumn("n_regions", F.lit(0).cast("bigint")).withColumn("least_edits", F.lit(None).cast("bigint"))
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
-        packed = pickle.dumps([(r.i, r.t) for r in mine])
-        last = block == blocks - 1
+    for k, packed in enumerate(blocks):
+        last = k == len(blocks) - 1
 
         def run(batches, packed=packed, last=last):
             patterns = Patterns(pickle.loads(packed))
             for batch in batches:
                 begin = 0
-                while begin < batch.num_rows:
-                    texts, total, stop = [], 0, begin
-                    while stop < batch.num_rows and total < 2_000_000:
-                        texts.append(plain(batch.column(1)[stop].as_py() or ""))
-                        total += len(texts[-1])
-                        stop += 1
-                    part = batch.slice(begin, stop - begin)
+                for texts in _portions(batch.column(1).to_pylist()):
+                    part = batch.slice(begin, len(texts))
                     found = [set() for _ in texts]
                     edits = [None] * len(texts)
                     for doc, pattern, _, _, e in patterns.matches(texts):
@@ -218,7 +261,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         [part.column(0), pa.nulls(part.num_rows, pa.string()) if last else part.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(least, pa.int64())],
                         names=[id_col, text_col, "items", "n_regions", "least_edits"],
                     )
-                    begin = stop
+                    begin += len(texts)
 
         out = out.mapInArrow(run, f"`{id_col}` {id_type}, `{text_col}` string, items array<bigint>, n_regions bigint, least_edits bigint")
     return out.select(id_col, (F.col("n_regions") > 0).alias("contaminated"), "n_regions", "items", "least_edits")

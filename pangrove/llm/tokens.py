@@ -1,11 +1,11 @@
 """Token counts and token-id files with a public byte-level tokenizer.
 
-Both operators split a text into pre-tokens and ask the tokenizer for each
-distinct pre-token once.  That is exact only where the split here and the
-tokenizer's own agree, so it is used for texts whose characters all have
-settled classes (Latin scripts and punctuation below U+0250); any other text,
-and any text that holds the string of a special token, goes to the tokenizer
-whole.
+Both operators split a text into pre-tokens and ask the tokenizer's model for
+each distinct pre-token once.  Texts whose characters all have settled classes
+(Latin scripts and punctuation below U+0250) are split here; any other text is
+split by the tokenizer's own pre-tokenizer.  The strings of special tokens are
+cut out first, and stand for themselves.  No text is encoded whole, unless a
+tokenizer is not of the byte-level kind.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pangrove.llm.common import shared_dir, written
+from pangrove.llm.common import shared_dir, store, written
 
 #: The pre-token pattern of the byte-level tokenizer, for the
 #: characters that UNSETTLED lets through.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 UNSETTLED = re.compile("[^\t-\r -~\x80-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
+#: Before a pre-token in the byte-level alphabet, and before a special token's string.
+SPELLED, SPECIAL = "\x00", "\x01"
+
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 800_000
 
@@ -48,11 +51,14 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
-        specials = [t["content"] for t in spec.get("added_tokens") or []]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        #: Whether pre-tokens can be taken apart here: no normalizer, the byte-level split.
+        added = spec.get("added_tokens") or []
+        specials = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, specials))})") if specials else None
+        self.special_ids = {t["content"]: t["id"] for t in added}
+        #: Whether pre-tokens can be taken apart: no normalizer, the byte-level split, plain special tokens.
         self.by_piece = (
             spec.get("normalizer") is None
+            and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
@@ -74,10 +80,25 @@ class Encoder:
         return cls._open[path, use]
 
     def pieces(self, text: str) -> list[str] | None:
-        """The text's pre-tokens, or None if only the tokenizer can tell."""
-        if not self.by_piece or UNSETTLED.search(text) or (self.special and self.special.search(text)):
+        """The text's pre-tokens, or None if only the tokenizer can tell.
+
+        Those of the tokenizer's own split come in the byte-level alphabet
+        behind SPELLED, special tokens behind SPECIAL; neither sign is settled,
+        so no pre-token that is split here begins with one.
+        """
+        if not self.by_piece:
             return None
-        return PIECES.findall(text)
+        if not UNSETTLED.search(text) and not (self.special and self.special.search(text)):
+            return PIECES.findall(text)
+        out: list[str] = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            if k % 2:
+                out.append(SPECIAL + part)
+            elif UNSETTLED.search(part):
+                out += [SPELLED + p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            else:
+                out += PIECES.findall(part)
+        return out
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -89,7 +110,12 @@ class Encoder:
         # A pre-token is one word to the library's model: its bytes in the byte-level alphabet.
         merge, spell = self.library.model.tokenize, self.spell
         for word in words:
-            if word.isascii() and word.isprintable():
+            if word[0] == SPECIAL:
+                self.known[word] = value([self.special_ids[word[1:]]])
+                continue
+            if word[0] == SPELLED:
+                spelled = word[1:]
+            elif word.isascii() and word.isprintable():
                 spelled = word.replace(" ", "\u0120")
             else:
                 spelled = word.encode("utf-8").decode("latin-1").translate(spell)
@@ -142,9 +168,10 @@ def _chunks(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterat
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` for every row of ``docs``.
 
-    Pieces are counted once for each distinct pre-token that a worker meets,
-    joined to each text's pre-token frequencies and summed; ids of texts are
-    never built, and nothing is shuffled.  A null text counts as empty (0
+    Pieces are counted once for each distinct pre-token that a worker meets (it
+    remembers ``REMEMBERED`` of them), joined to each text's pre-token
+    frequencies and summed; ids of texts are never built, and nothing is
+    shuffled.  A null text counts as empty (0
     tokens).  Rows are independent: ties, repeated rows and null ids come out
     as they came in, an empty table gives an empty table.
     """
@@ -172,11 +199,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 SEQUENCES = 512
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A file system and a path in it, of a local path or a URI."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def id_dtype(ids_below: int) -> np.dtype:
     return np.dtype("<u2") if ids_below <= 1 << 16 else np.dtype("<u4")
 
@@ -195,7 +217,7 @@ class SequenceWriter:
         kind = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.doc_schema = pa.schema([("doc_id", id_type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
-        fs, path = _store(uri)
+        fs, path = store(uri)
         self.outs = [fs.open_output_stream(f"{path}.tokens.arrow"), fs.open_output_stream(f"{path}.docs.arrow")]
         self.file = pa.ipc.new_file(self.outs[0], self.schema)
         self.docs = pa.ipc.new_file(self.outs[1], self.doc_schema)
@@ -250,7 +272,7 @@ class SequenceReader:
     """Random access to one part; local files are mapped, not read."""
 
     def __init__(self, uri: str):
-        fs, path = _store(uri)
+        fs, path = store(uri)
         opened = [
             pa.memory_map(p) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(p)
             for p in (f"{path}.tokens.arrow", f"{path}.docs.arrow")
@@ -300,10 +322,11 @@ def write_token_files(
     in the manifest count, so a task that is lost or run twice does no harm.
     Manifest: ``(part, file, n_docs, n_tokens, start)``, ``start`` being the
     ids in earlier parts.  A null text is empty (its end id alone), null ids
-    come first, rows with equal ids stand side by side.
+    come first, rows with equal ids stand in the order of a hash of the text,
+    then of the text, so reruns agree and one id can spread over parts.
     """
     id_type = docs.schema[id_col].dataType
-    fs, root = _store(out)
+    fs, root = store(out)
     fs.create_dir(root, recursive=True)
 
     def run(batches):
@@ -325,9 +348,11 @@ def write_token_files(
             )
 
     parts = (
-        docs.select(F.col(id_col).cast(id_type), F.col(text_col).cast("string"))
-        .repartitionByRange(F.col(id_col))
-        .sortWithinPartitions(id_col)
+        docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("text"))
+        .withColumn("mark", F.xxhash64("text"))
+        .repartitionByRange("id", "mark")
+        .sortWithinPartitions("id", "mark", "text")
+        .select("id", "text")
         .mapInArrow(run, "part bigint, file string, n_docs bigint, n_tokens bigint")
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part

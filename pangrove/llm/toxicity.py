@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,11 +151,17 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, id_col
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    """The rows of ``docs``, all columns, that score below ``threshold``.
+
+    Null and empty texts get the score of a text without evidence; repeated
+    rows and null ids come out as they came in, whatever the other columns are
+    called; an empty table gives an empty table.
+    """
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
-        return pd.Series([scorer.score(t or "") for t in texts])
+        for texts in parts:
+            yield pd.Series([scorer.score(t or "") for t in texts], dtype=float)
 
     return docs.where(score(F.col(text_col).cast("string")) < threshold)
