@@ -5,13 +5,14 @@ from __future__ import annotations
 import heapq
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pangrove.llm.common import connected_components, least_labels, session_partitions, written
+from pangrove.llm.common import connected_components, discard, least_labels, session_partitions, written
 
 #: Vectors in a block of a cell; a task compares two blocks at a time.
 BLOCK = 1024
@@ -90,9 +91,9 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _valid(v: Column, dim: int) -> Column:
+def _valid(v: Column) -> Column:
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(v) == dim) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def _link_reach(classes: DataFrame, index: Index, cls: np.ndarray, probes: np.ndarray, threshold: float) -> np.ndarray:
@@ -154,22 +155,21 @@ def _calibrate(reach: np.ndarray, whole: bool, target: float) -> tuple[float | N
 
 
 def fit_index(
-    classes: DataFrame, threshold: float, sample: int = 8000, probes: int = 2048, most_probes: int = 16384, target: float = 0.999, seed: int = 5
-) -> Index | None:
+    classes: DataFrame, threshold: float, sample: int = 8000, probes: int = 2048, most_probes: int = 16384, target: float = 0.999, seed: int = 5, codes: int = 256
+) -> Index:
     """An index fitted on ``sample`` vectors at most (those of least hash), calibrated on probes of greatest hash.
 
     The codebooks have about the square root of a hundredth of the rows each,
-    256 at most, so a cell of the product grid holds about a hundred rows.
+    ``codes`` at most, so a cell of the product grid holds about a hundred rows;
+    beyond that cells grow, and are compared block by block as any large cell.
     Where ``probes`` show too few with links, ``most_probes`` (or 64 MB of
     them) are taken; where these show too few as well, the index keeps to the
     exact bound.
     """
     rows = classes.count()
     some = [r.blob for r in classes.orderBy(F.xxhash64("blob"), "cls").limit(sample).select("blob").collect()]
-    if not some:
-        return None
     unit = _unit(some)
-    k = max(1, min(256, int(np.sqrt(rows / 100)), len(unit) // 8 or 1))
+    k = max(1, min(codes, int(np.sqrt(rows / 100)), len(unit) // 8 or 1))
     half = unit.shape[1] // 2
     index = Index(_k_means(unit[:, :half], k, seed), _k_means(unit[:, half:], k, seed + 1), None, 2 - 2 * threshold)
     del some, unit
@@ -220,30 +220,41 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "
     cut into blocks, so a large group is many pairs of blocks, each reduced to
     counts and a forest at once.
 
-    Null or zero vectors, those with null or non-finite components and those
-    whose length is not the most common one link with nothing.  A null id is
-    kept and never names a component.  Repeated rows link with each other.  An
-    empty table gives an empty table.
+    Vectors of one length are compared with each other, of another length with
+    none; each length has an index of its own, so lengths should be few.  Null
+    or zero vectors and those with null or non-finite components link with
+    nothing.  A null id is kept and never names a component.  Repeated rows
+    link with each other.  An empty table gives an empty table.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    common = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common.dim if common else 0
 
     def pack(batches):
         for batch in batches:
             blobs = [None if v is None else (np.array(v, "<f8") + 0.0).tobytes() for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
-    fine = rows.select("id", F.when(_valid(F.col("v"), dim), F.col("v")).alias("v")).mapInArrow(pack, "id bigint, blob binary")
-    fine = written(fine.withColumn("h", F.xxhash64("blob")), "vectors")
-    classes = fine.where(F.col("blob").isNotNull()).groupBy("blob").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    fine = rows.select("id", F.when(_valid(F.col("v")), F.col("v")).alias("v")).mapInArrow(pack, "id bigint, blob binary")
+    fine = written(fine.withColumn("size", F.octet_length("blob")), "vectors")
+    sizes = [r[0] for r in fine.where("blob is not null").select("size").distinct().orderBy("size").collect()]
+    if not sizes:
+        return fine.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    nodes = reduce(DataFrame.unionByName, [_linked(fine.where(F.col("size") == n), threshold) for n in sizes])
+    out = fine.join(nodes, "blob", "left")
+    component = F.when(F.col("blob").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
+    )
+
+
+def _linked(fine: DataFrame, threshold: float) -> DataFrame:
+    """``(blob, n_links, component_id)`` of each distinct vector; all have one length."""
+    spark = fine.sparkSession
+    classes = fine.groupBy("blob").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # Nodes are named by the least id; a class of null ids alone by a negative number of its hash.
     named = F.coalesce("least", -F.abs(F.xxhash64("blob") / 2).cast("bigint") - 1)
     classes = written(classes.select("blob", named.alias("cls"), "least", "n"), "vector-classes")
     index = fit_index(classes, threshold)
-    if index is None:
-        return fine.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     packed = pickle.dumps(index)
 
     def file(batches):
@@ -288,6 +299,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "
                 )
 
     found = written(pairs.mapInArrow(search, "cls bigint, links bigint, other bigint"), "vector-links")
+    discard(filed)
     links = found.where(F.col("other").isNull()).groupBy("cls").agg(F.sum("links").alias("links"))
     labels = connected_components(found.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")))
     nodes = (
@@ -295,11 +307,6 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "
         .join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
         .select("blob", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
     )
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "component").select("blob", "n_links", "component_id")
-    out = fine.join(nodes, "blob", "left")
-    component = F.when(F.col("blob").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-    )
+    nodes = written(nodes, "vector-nodes")
+    least = written(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "vector-least")
+    return nodes.join(least, "component").select("blob", "n_links", "component_id")

@@ -52,7 +52,7 @@ def mix_sources(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(id, source, size, source_size, target, copies, taken)`` for every row of ``docs``.
+    """``(id, size, source_size, target, taken, source, copies)`` for every row of ``docs``.
 
     ``size`` is the text's words (null: 0).  Sources, by code point with null
     last, weigh ``weights`` in turn and share all words; none exceeds ``most``
@@ -87,6 +87,5 @@ def mix_sources(
     crossed = lambda k: F.floor(_offset(F.col("source"), seed) + step * k)
     rows = rows.withColumn("copies", (crossed(rank + 1) - crossed(rank)).cast("bigint"))
     return rows.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("source").alias(source_col), "copies"
     )

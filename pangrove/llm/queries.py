@@ -130,7 +130,7 @@ d AS (
   SELECT z.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS step,
          (row_number() OVER (PARTITION BY z.source ORDER BY z.size, z.doc_id) - 1)::DOUBLE AS k
   FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target, (floor(u + step * (k + 1)) - floor(u + step * k))::BIGINT AS copies,
-       ((floor(u + step * (k + 1)) - floor(u + step * k))::BIGINT * size)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, ((floor(u + step * (k + 1)) - floor(u + step * k))::BIGINT * size)::BIGINT AS taken,
+       source, (floor(u + step * (k + 1)) - floor(u + step * k))::BIGINT AS copies
 FROM d""",
 }

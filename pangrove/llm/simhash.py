@@ -266,12 +266,11 @@ def _labelled(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     Each side of a join is a written table, so Spark can split the rows of a
     large component, or of a text that many documents have.
     """
-    labels = written(connected_components(edges), "simhash-labels")
-    node = nodes.join(labels, "node", "left").select(key, "least", F.coalesce("component", "node").alias("component"))
+    node = nodes.join(connected_components(edges), "node", "left").select(key, "least", F.coalesce("component", "node").alias("component"))
     node = written(node, "simhash-nodes")
     least = written(node.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
     out = written(node.join(least, "component").select(key, "component_id"), "simhash-components")
-    discard(labels, node, least)
+    discard(node, least)
     return out
 
 

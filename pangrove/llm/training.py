@@ -20,11 +20,13 @@ def labelled_sample(
     """``(label, whole text)`` of training rows, ``most`` of each label at most, those of least hash.
 
     Only rows outside the held-out fold are read.  The bound is a parameter of
-    the trained operators; everything else they do covers all rows.
+    the trained operators; everything else they do covers all rows.  All labels
+    count, however many there are.  An id that is rated twice alike is one row;
+    of documents with one id the text of least hash counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y"))
-    values = [r[0] for r in known.select("y").distinct().orderBy("y").limit(64).collect()]
+    known = known.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y")).where("y is not null").distinct()
+    values = [r[0] for r in known.select("y").distinct().orderBy("y").collect()]
     chosen = None
     for y in values:  # a top-k for each of the few grades
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
@@ -32,7 +34,8 @@ def labelled_sample(
     if chosen is None:
         return []
     texts = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "k").select("y", "t", F.xxhash64("k").alias("h")).collect()  # 64 x most rows at most
+    rows = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("t"))
+    rows = rows.select("y", "t.t", F.xxhash64("k").alias("h")).collect()  # ``most`` rows of each label at most
     return [(r.y, r.t) for r in sorted(rows, key=lambda r: (r.h, r.y, r.t))]
 
 

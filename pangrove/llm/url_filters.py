@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from pangrove.llm.common import session_partitions, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Buckets of the sweep, at most; each holds an equal share of the urls.
-MOST_BUCKETS = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -78,7 +76,9 @@ def _bucket(key: Column, splits: list[str]) -> Column:
     )
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", buckets: int | None = None
+) -> DataFrame:
     """``(id, host, path, rule, verdict)`` for every row of ``pages``.
 
     ``rules`` has ``host, path, action``.  A rule fits its host and all
@@ -90,7 +90,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     host; a sweep carries the stack of active nested rules from the last
     boundary to the urls behind it.  Buckets part the order by keys sampled
     from the urls, salted behind the host, so one host, or one url, spreads
-    over many; each bucket begins with the stack that is active there.
+    over many; each bucket begins with the stack that is active there.  There
+    are ``buckets`` of them, four for each of the session's partitions if that
+    is not given, and each holds an equal share of the urls.
 
     Null urls and urls without ``://`` have an empty host and path.  Repeated
     rows come out once each; an empty table of pages or rules is fine.
@@ -101,7 +103,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     urls = urls.select("id", "host", "path", F.concat(reversed_host(F.col("host")), F.lit("\x00"), "salt").alias("key"))
     urls = written(urls, "urls")
     bounds = written(_boundaries(rules), "url-rules")
-    n = min(MOST_BUCKETS, 4 * session_partitions(spark))
+    n = buckets or 4 * session_partitions(spark)
     splits = _splits(urls.select("key"), n)
     bounds = bounds.withColumn("bucket", _bucket(F.col("key"), splits))
     # Each bucket's last stack, then what each bucket begins with: a row a bucket.

@@ -90,6 +90,23 @@ def test_empty(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_wide_links_are_all_found(spark):
+    """Pairs of several lanes within the radius link, however their bits are spread over the lanes."""
+    rng = random.Random(4)
+    rows, want = [], []
+    for k in range(30):
+        a = rng.getrandbits(128)
+        flips = range(40) if k % 2 else range(41)  # all of them in the first lane
+        rows += [(2 * k, a), (2 * k + 1, a ^ sum(1 << b for b in flips))]
+        want += [(2 * k, 2 * k + 1)] if k % 2 else []
+    df = spark.createDataFrame([(n, f.to_bytes(16, "little")) for n, f in rows], "node bigint, fp binary")
+    edges = simhash.fingerprint_edges(df, radius=40, lanes=2, tile=16).collect()
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 40}
+    assert set(want) <= near and {tuple(sorted(e)) for e in edges} <= near
+    groups = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(groups[a] == groups[b] for a, b in near)
+
+
 def test_wide(spark):
     """Eight lanes: similarity 0.85 and more links, 0.6 and less does not."""
     rng = random.Random(3)

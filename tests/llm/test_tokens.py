@@ -60,6 +60,25 @@ def test_files_round_trip(spark):
         assert all(len(reader.sequence(k)[0]) == 64 for k in range(n))
 
 
+def test_no_text_is_encoded_whole(monkeypatch):
+    """Every script and special strings go by pre-tokens, as the library counts them."""
+    e = tokens.Encoder(PATH)
+    monkeypatch.setattr(e, "whole", None)
+    texts = [t or "" for t in TEXTS] + [
+        "Привет, мир! Ещё раз.", "“quoted” — dash… don’t", "العربية ١٢٣ ४५६", "ไทย ภาษา", "a<|endoftext|>漢<|endoftext|>", "<|endoftext|><|endoftext|> x", "e\u0301 \u200d🙂\u200d", "\x00\x01 \x00", "ﬁ ½ ² Ⅷ ٣",
+    ]
+    assert e.count(texts) == [len(ids(t)) for t in texts]
+    e.known.clear()  # counts and ids are remembered apart
+    assert list(e.encode(texts, np.dtype("<u2"))) == [np.array(ids(t), "<u2").tobytes() for t in texts]
+
+
+def test_rows_of_one_id_have_an_order(spark):
+    rows = [(5, f"text {k} " * (k % 7)) for k in range(60)] + [(None, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    read = lambda d: sorted((r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_digest(d, PATH, 32).collect())
+    assert read(docs.repartition(5)) == read(docs.repartition(2))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert tokens.token_counts(none, PATH).count() == 0

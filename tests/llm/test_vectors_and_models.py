@@ -60,6 +60,21 @@ def test_rare_links_across_cells(spark):
         assert [got[k] for k in range(len(rows))] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
 
 
+def test_lengths(spark):
+    """Vectors of each length link among themselves; of another length never."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (4, 7, 7, 12):
+        base = rng.normal(size=n)
+        rows += [(base * (k + 1) + 0.01 * rng.normal(size=n)).tolist() for k in range(5)]
+    rows += [[*rows[0], 0.0, 0.0, 0.0]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")).collect()}
+    cos = lambda a, b: len(a) == len(b) and np.dot(a, b) >= 0.9 * np.linalg.norm(a) * np.linalg.norm(b)
+    for k, v in enumerate(rows):
+        near = [j for j, w in enumerate(rows) if cos(v, w)]
+        assert got[k] == (len(near) - 1, min(near))
+
+
 def test_calibration():
     reach = np.zeros((2, 2, BINS))
     assert _calibrate(reach, False, 0.999) == (None, None)  # no links seen: the exact bound
@@ -117,6 +132,54 @@ def test_models(spark):
     assert quality.score_quality(empty, quality.fit_quality(empty, l)).count() == 0
 
 
+def test_scores_by_hand(spark):
+    """Scores of both classifiers, worked out from their models by plain loops."""
+    import math
+
+    import zstandard as zs
+
+    rng = random.Random(9)
+    sample = [(k % 3 == 0, prose(rng, 40, rng.sample(["idiot", "scum", "moron"], 2) if k % 3 == 0 else ())) for k in range(300)]
+    sample = [(int(y), t) for y, t in sample]
+    texts = [t for _, t in sample[:20]] + ["", "a", "scum " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = toxicity.train(sample)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    plain, toxic = (
+        zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=zs.ZstdCompressionParameters(
+            window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=16, strategy=zs.STRATEGY_LAZY2,
+            write_content_size=False, write_checksum=False, write_dict_id=False,
+        )) for d in (model.ordinary, model.toxic)
+    )
+    for k, t in enumerate(texts):
+        words = t.lower().encode().split()
+        saved = [len(plain.compress(w)) - len(toxic.compress(w)) for w in (b" " + b" ".join(words[x : x + 8]) + b" " for x in range(0, len(words), 8))] or [0]
+        top = sorted(saved, reverse=True) + [0, 0]
+        x = [top[0], top[1], top[2], min(top[0], 4), sum(s >= 3 for s in saved) / len(saved), math.log(len(saved)), 1]
+        assert abs(got[k] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))) < 1e-9
+
+    graded = [(g, prose(rng, 30) + " fine" * g) for g in (0, 1, 2) for _ in range(40)]
+    model = quality.train(graded)
+    got = {r.doc_id: (r.expected_grade, r.tail_probability) for r in quality.score_quality(docs, model).collect()}
+    for k, t in enumerate(texts):
+        index, value = quality.Features().of(t)
+        z = sum(float(np.float32(model.weights[i])) * v for i, v in zip(index, value))
+        tails = [1 / (1 + math.exp(-(z - c))) for c in model.thresholds]
+        assert abs(got[k][0] - sum(tails)) < 1e-4 and abs(got[k][1] - tails[-1]) < 1e-4
+
+
+def test_more_labels(spark):
+    """Grades beyond a few dozen all count; ids that are rated or stand twice don't count twice."""
+    from pangrove.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(d, f"text {d}") for d in range(400)] + [(1, "text 1"), (2, "other 2")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, d % 90) for d in range(400)] + [(1, 1), (2, 2)], "doc_id bigint, grade int")
+    got = labelled_sample(docs, labels, "grade", 3)
+    trained = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5]
+    assert {y for y, _ in got} == {d % 90 for d in trained}
+    assert len(got) == sum(min(3, sum(d % 90 == y for d in trained)) for y in range(90)) and len(set(got)) == len(got)
+
+
 def test_ordinal_grades():
     rng = random.Random(1)
     sample = [(g, prose(rng, 80) + " good" * (g * 6) + " bad" * (12 - 4 * g)) for g in (0, 1, 2, 3) for _ in range(40)]
