@@ -32,40 +32,54 @@ def donor(name: Column) -> Column:
     return F.when(F.size(F.split(name, "#")) == 3, sample(name)).otherwise(name)
 
 
+_NUMBER = "([0-9]{1,19})"
+_WIDE = "decimal(20,0)"
+
+
+def _cut(state: Column, pattern: str, applies) -> Column:
+    """What is left of a name whose end a pattern takes, with the numbers it holds; as it was where it doesn't apply."""
+    end = lambda k: F.regexp_extract(state["rest"], pattern, k).try_cast(_WIDE)
+    both = F.struct(end(1).alias("first"), end(2).alias("second")) if pattern.count(_NUMBER) > 1 else F.struct(end(1).alias("first"), F.lit(None).cast(_WIDE).alias("second"))
+    fits = state["rest"].rlike(pattern)
+    held = F.when(fits, both)
+    good = fits & F.coalesce(applies(state, held), F.lit(False))
+    return F.struct(
+        F.when(good, F.regexp_replace(state["rest"], pattern, "")).otherwise(state["rest"]).alias("rest"),
+        (state["start"] + F.when(good, held["first"]).otherwise(F.lit(0).cast(_WIDE))).cast(_WIDE).alias("start"),
+        (state["spanned"] | good).alias("spanned"),
+        F.when(good, held["second"] - held["first"]).alias("width"),
+    )
+
+
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def path_name(name: Column, bp: Column) -> Column:
     """``struct(path, start, error)`` of a P line's name, once the bp of its steps are known.
 
-    Read from the right: ``:start-end`` where the steps span it, then
-    ``[start]`` or ``[start-end]``, then the digits of a fourth ``#`` field; the
-    starts add up.
+    Endings are taken off from the right, each at most once, and their starts
+    add up: ``:start-end`` if the steps span it, ``[start]`` or ``[start-end]``,
+    the digits of a fourth ``#`` field.
     """
-    wide = lambda c: F.expr("0").cast("decimal(20,0)") if c is None else c.try_cast("decimal(20,0)")
-    colon_re, bracket_re = r"(?s)^(.*):([0-9]{1,19})-([0-9]{1,19})$", r"(?s)^(.*)\[([0-9]{1,19})(?:-([0-9]{1,19}))?\]$"
-    fourth_re = r"^([^#]*#[^#]*#[^#]*)#([0-9]{1,19})$"
-    part = lambda c, r, k: F.nullif(F.regexp_extract(c, r, k), F.lit(""))
-    has_colon = F.coalesce(
-        name.rlike(colon_re) & (bp > 0) & (wide(part(name, colon_re, 3)) - wide(part(name, colon_re, 2)) == bp), F.lit(False)
-    )
-    uncut = F.when(has_colon, F.regexp_extract(name, colon_re, 1)).otherwise(name)
-    has_bracket = uncut.rlike(bracket_re)
-    whole = F.when(has_bracket, F.regexp_extract(uncut, bracket_re, 1)).otherwise(uncut)
-    has_fourth = whole.rlike(fourth_re)
-    path = F.when(has_fourth, F.regexp_extract(whole, fourth_re, 1)).otherwise(whole)
-    zero = F.lit(0).cast("decimal(20,0)")
-    begin, stop = wide(part(uncut, bracket_re, 2)), wide(part(uncut, bracket_re, 3))
-    start = (
-        F.when(has_colon, wide(part(name, colon_re, 2))).otherwise(zero)
-        + F.when(has_bracket, begin).otherwise(zero)
-        + F.when(has_fourth, wide(part(whole, fourth_re, 2))).otherwise(zero)
-    )
-    wrong = has_bracket & stop.isNotNull() & ~has_colon & ((stop - begin) != bp)
-    error = (
-        F.when(wrong, F.lit("its [start-end] does not span its steps"))
-        .when(name == "", F.lit("a P line has an empty name"))
-        .when(path == "", F.lit("its name is only a start"))
-        .when(start >= F.lit("18446744073709551616").cast("decimal(20,0)"), F.lit("its starts add up past 2^64"))
-    )
-    return F.struct(path.alias("path"), start.try_cast("bigint").alias("start"), error.alias("error"))
+    bp = bp.cast(_WIDE)
+    whole = F.struct(name.alias("rest"), F.lit(0).cast(_WIDE).alias("start"), F.lit(False).alias("spanned"), F.lit(None).cast(_WIDE).alias("width"))
+    spans = lambda _, held: (bp > 0) & (held["second"] - held["first"] == bp)
+    colon = lambda s: _cut(s, f":{_NUMBER}-{_NUMBER}\\z", spans)
+    bracket = lambda s: _cut(s, f"\\[{_NUMBER}(?:-{_NUMBER})?\\]\\z", lambda *_: F.lit(True))
+    fourth = lambda s: _cut(s, f"#{_NUMBER}\\z", lambda s, _: F.size(F.split(s["rest"], "#")) == 4)
+
+    def judged(after_colon: Column) -> Column:
+        return _bound(bracket(after_colon), lambda b: _bound(fourth(b), lambda f: F.struct(
+            f["rest"].alias("path"), f["start"].try_cast("bigint").alias("start"),
+            F.when(name == "", F.lit("nothing names it"))
+            .when(~after_colon["spanned"] & (b["width"] != bp), F.lit("the steps don't fill the stretch in its brackets"))
+            .when(f["rest"] == "", F.lit("nothing is left of its name but a start"))
+            .when(f["start"] >= F.lit("18446744073709551616").cast(_WIDE), F.lit("its starts add up to 2^64 or more")).alias("error"),
+        )))
+
+    return _bound(colon(whole), judged)
 
 
 def commify(n: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pangrove.plans.storage import discard, written
 
 
-def _least_of(edges: DataFrame) -> DataFrame:
-    """``(u, m)``: the least neighbour of each node; written, so that a join to a hub's edges can be split."""
-    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "component-least")
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A small table of ids, written plainly: compressing it would cost more memory than it saves disk."""
+    return written(df, name, "uncompressed")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,21 +22,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     back to the edges is one that Spark splits where a hub is large.  Each
     round's tables are deleted when the next one's are written.
     """
-    e = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct(), "component-edges"
-    )
+    e = _kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct(), "component-edges")
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least_of(both)
+        # Written, so that a join to a hub's edges can be split.
+        least = _kept(both.groupBy("u").agg(F.min("v").alias("m")), "component-least")
         low = least.select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where(F.col("u") != F.col("v")), "component-large")
-        nearest = _least_of(large)
-        small = large.join(nearest, "u")
-        pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(nearest.select("u", F.col("m").alias("v")))
-        new = written(pairs.where(F.col("u") != F.col("v")).distinct(), "component-edges")
-        discard(e, least, large, nearest)
+        large = large.where(F.col("u") != F.col("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        new = _kept(pairs.where(F.col("u") != F.col("v")).distinct(), "component-edges")
+        discard(e, least)
         e = new
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:

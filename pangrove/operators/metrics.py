@@ -34,6 +34,11 @@ def untraversed(links: DataFrame, traffic: DataFrame) -> DataFrame:
     return links.select(keys).join(traffic.select(keys), keys, "left_anti")
 
 
+def unlinked(traffic: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that lines take and ``links`` lacks."""
+    return untraversed(traffic, links)
+
+
 def window_cost(tiled: DataFrame) -> DataFrame:
     """Steps, lines and bp of each tile."""
     return tiled.groupBy(F.col("t_seq").alias("seq"), F.col("t_tile").alias("tile")).agg(

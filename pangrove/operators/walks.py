@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pangrove.functions.names import sample
 from pangrove.graph import Graph
 from pangrove.operators.intervals import cover, holes, tile_of
-from pangrove.operators.place import offset_steps
+from pangrove.operators.place import check_steps, offset_steps
 
 TILE, STAY = 65_536, 311
 
@@ -44,101 +44,163 @@ def stable_placement(offset: DataFrame, ref: str) -> DataFrame:
     return off.groupBy("node").agg(F.min(F.struct("name", "offset")).alias("at")).select("node", F.col("at.name").alias("seq"), F.col("at.offset").alias("start_pos"))
 
 
-_CHOSEN = "line string, i bigint, seq string, ref_offset bigint, ref_rev boolean"
+_NO_VISITS = "cast(array() as array<struct<seq: string, ref_offset: bigint, ref_rev: boolean>>)"
+
+
+def _with_visits(steps: DataFrame, visits: DataFrame) -> DataFrame:
+    """Steps with all passes of the reference over their node, by sequence and offset."""
+    ordered = visits.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "ref_offset", "ref_rev"))).alias("visits"))
+    return steps.join(ordered, "node", "left").withColumn("visits", F.coalesce("visits", F.expr(_NO_VISITS)))
+
+
+def _stretches(steps: DataFrame) -> DataFrame:
+    """Steps with ``stretch``: from one step on a node passed once to before the next, and whether it needs choices.
+
+    A node passed once fixes the place, so stretches are placed each by itself;
+    what is before a line's first such node goes with its first stretch.
+    """
+    along = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    once = (F.size("visits") == 1).cast("int")
+    steps = steps.withColumn("stretch", F.greatest(F.sum(once).over(along), F.lit(1)))
+    return steps.withColumn("choice", F.max(F.size("visits") > 1).over(Window.partitionBy("line", "stretch")))
+
+
+def _expected(place: tuple, step: dict) -> int:
+    """The offset at which a step lies that is as far along the reference as along the path."""
+    at, turned, was = place
+    gone = step["offset"] - was["offset"]
+    return at + gone if was["rev"] == turned else at + was["length"] - gone - step["length"]
 
 
 def _nearest_passes(rows: pd.DataFrame) -> pd.DataFrame:
-    """One line's steps on a reference that revisits nodes.
+    """One stretch's places: outward both ways from its node passed once.
 
-    The first step on a node passed once is the anchor; from it outward both
-    ways each step takes, on the sequence it is on, the pass nearest to where
-    the last placed step predicts it (the lower offset on a tie), else the
+    Each step takes, on the sequence that the last placed step is on, the pass
+    nearest to where that predicts it (the lower offset on a tie), else its
     node's first pass.
     """
-    out = []
-    for line, steps in rows.sort_values("i").groupby("line", sort=False):
-        steps = steps.to_dict("records")
-        by_seq = []
-        for s in steps:
-            found: dict[str, list[tuple[int, bool]]] = {}
-            for seq, at, rev in s["visits"]:
-                found.setdefault(seq, []).append((at, rev))
-            by_seq.append(found)
-        anchor = next((k for k, s in enumerate(steps) if len(s["visits"]) == 1), 0)
-        chosen: list[tuple[str, int, bool] | None] = [None] * len(steps)
-        for order in (range(anchor, len(steps)), range(anchor, -1, -1)):
-            forward, last, gap = order.step > 0, None, 0
-            for k in order:
-                found = by_seq[k]
-                if not found:
-                    gap += steps[k]["length"]
-                    continue
-                pick = chosen[k]
-                if pick is None and last is not None and last[0] in found:
-                    seq, at, rev, length, turned = last
-                    down = forward == (turned != rev)
-                    expect = at - gap - steps[k]["length"] if down else at + length + gap
-                    passes = found[seq]
-                    places = [p for p, _ in passes]
-                    x = bisect.bisect_left(places, expect)
-                    near = min(range(max(0, x - 1), min(len(places), x + 1)), key=lambda y: (abs(places[y] - expect), places[y]))
-                    pick = (seq, *passes[near])
-                if pick is None:
-                    seq, at, rev = steps[k]["visits"][0]
-                    pick = (seq, at, rev)
-                chosen[k] = pick
-                last, gap = (*pick, steps[k]["length"], steps[k]["rev"]), 0
-        out += [(line, s["i"], *c) for s, c in zip(steps, chosen) if c is not None]
-    return pd.DataFrame(out, columns=["line", "i", "seq", "ref_offset", "ref_rev"])
+    steps = rows.sort_values("i").to_dict("records")
+    on = [k for k, s in enumerate(steps) if len(s["visits"])]
+    anchor = next((k for k in on if len(steps[k]["visits"]) == 1), on[0])
+    chosen = {}
+    for order in ([k for k in on if k >= anchor], [k for k in reversed(on) if k <= anchor]):
+        last = None
+        for k in order:
+            passes = [v for v in steps[k]["visits"] if last and v[0] == last[0]]
+            if k not in chosen:
+                if passes:
+                    x = bisect.bisect_left([v[1] for v in passes], goal := _expected(last[1:], steps[k]))
+                    chosen[k] = min(passes[max(0, x - 1) : x + 1], key=lambda v: (abs(v[1] - goal), v[1]))
+                else:
+                    chosen[k] = steps[k]["visits"][0]
+            seq, at, turned = chosen[k]
+            last = seq, at, turned, steps[k]
+    return pd.DataFrame([(steps[k]["line"], steps[k]["i"], *chosen[k]) for k in sorted(chosen)], columns=["line", "i", "seq", "ref_offset", "ref_rev"])
+
+
+_CHOSEN = "line string, i bigint, seq string, ref_offset bigint, ref_rev boolean"
 
 
 def place_steps(offset: DataFrame, ref: str, revisited: bool | None = None) -> DataFrame:
     """Steps with their place on the reference: ``seq, ref_offset, ref_rev, passes``, null off it.
 
     A reference's own steps lie at their own offsets.  Where no reference node
-    is passed twice this is one equality join; else lines that meet such nodes
-    go through a grouped map, a line at a time.
+    is passed twice this is one equality join; else stretches that meet such
+    nodes go through a grouped map, a stretch at a time.
     """
     steps = offset.where(F.col("length") > 0)
     visits = reference_visits(offset, ref)
     if revisited is None:
         revisited = visits.where("passes > 1").limit(1).count() > 0
     own = sample(F.col("name")) == ref
-    placed_own = steps.where(own).join(visits.select("node", "passes").distinct(), "node").select(
+    passes = visits.select("node", "passes").distinct()
+    placed_own = steps.where(own).join(passes, "node").select(
         *steps.columns, F.col("name").alias("seq"), F.col("offset").alias("ref_offset"), F.col("rev").alias("ref_rev"), "passes"
     )
     others = steps.where(~own)
     if not revisited:
         return placed_own.unionByName(others.join(visits, "node", "left").select(placed_own.columns))
-    ordered = visits.groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "ref_offset", "ref_rev"))).alias("visits"), F.first("passes").alias("passes")
-    )
-    rows = others.join(ordered, "node", "left")
-    none = F.expr("cast(array() as array<struct<seq: string, ref_offset: bigint, ref_rev: boolean>>)")
-    chosen = rows.select("line", "i", "length", "rev", F.coalesce("visits", none).alias("visits")).groupBy("line").applyInPandas(_nearest_passes, _CHOSEN)
-    return placed_own.unionByName(rows.drop("visits").join(chosen, ["line", "i"], "left").select(placed_own.columns))
+    rows = _stretches(_with_visits(others, visits))
+    only = F.get("visits", F.lit(0))
+    settled = rows.where(~F.col("choice")).select(*steps.columns, *(only[c].alias(c) for c in ("seq", "ref_offset", "ref_rev")))
+    open_rows = rows.where("choice")
+    chosen = open_rows.select("line", "stretch", "i", "offset", "length", "rev", "visits").groupBy("line", "stretch").applyInPandas(_nearest_passes, _CHOSEN)
+    placed = settled.unionByName(open_rows.select(steps.columns).join(chosen, ["line", "i"], "left").select(settled.columns))
+    return placed_own.unionByName(placed.join(passes, "node", "left").select(placed_own.columns))
+
+
+_MOVED = "line string, i bigint, t_seq string, t_tile bigint, seq string, ref_offset bigint, ref_rev boolean"
 
 
-def _stay_home(rows: pd.DataFrame, stay: int) -> pd.DataFrame:
-    """Keep a line in its tile over short excursions: a run of steps elsewhere, under ``stay`` bp, that comes back."""
-    rows = rows.sort_values("i").reset_index(drop=True)
-    seq, tile, length = rows["t_seq"].tolist(), rows["t_tile"].tolist(), rows["length"].tolist()
-    n, k = len(rows), 0
+def _stays(rows: pd.DataFrame, tile: int, stay: int) -> pd.DataFrame:
+    """One stretch's steps kept in the tile they come back to.
+
+    A run of steps away from the current tile stays in it where the path comes
+    back, the run spends ``stay`` bp at most on reference nodes, none of them
+    passed once, and each that the tile has passes of finds one within ``stay``
+    bp of where the last placed step predicts it.  Steps on other nodes of the
+    reference lose their place there.
+    """
+    steps = rows.sort_values("i").to_dict("records")
+    where = [(s["t_seq"], s["t_tile"]) for s in steps]
+    after = (steps[-1]["next_seq"], steps[-1]["next_tile"])  # of the node passed once behind the stretch
+    place = [(s["seq"], int(s["ref_offset"]), bool(s["ref_rev"])) if isinstance(s["seq"], str) else None for s in steps]
+
+    def resettled(home: tuple, run: range) -> dict | None:
+        known = next(((place[k], k) for k in range(run.start - 1, -1, -1) if place[k]), None)
+        out = {}
+        for k in run:
+            if place[k] is None:
+                continue
+            here = [v for v in steps[k]["visits"] if v[0] == home[0] and home[1] <= v[1] < home[1] + tile]
+            if not here:
+                out[k] = None
+                continue
+            if known is None:
+                return None
+            goal = _expected((known[0][1], known[0][2], steps[known[1]]), steps[k])
+            best = min(here, key=lambda v: abs(v[1] - goal))
+            if abs(best[1] - goal) > stay:
+                return None
+            out[k] = (best[0], int(best[1]), bool(best[2]))
+            known = out[k], k
+        return out
+
+    home, k, n = where[0], 1, len(steps)
     while k < n:
-        end = k
-        while end < n and (seq[end], tile[end]) == (seq[k], tile[k]):
+        end, bp, once = k, 0, False
+        while end < n and where[end] != home and bp <= stay:
+            if len(steps[end]["visits"]):
+                bp += steps[end]["length"]
+                once |= len(steps[end]["visits"]) == 1
             end += 1
-        bp, back = 0, end
-        while back < n and (seq[back], tile[back]) != (seq[k], tile[k]) and bp + length[back] < stay:
-            bp += length[back]
-            back += 1
-        if end < back < n and (seq[back], tile[back]) == (seq[k], tile[k]):
-            for x in range(end, back):
-                seq[x], tile[x] = seq[k], tile[k]
+        back = end > k and bp <= stay and not once and (where[end] if end < n else after) == home
+        moved = resettled(home, range(k, end)) if back else None
+        if moved is None:
+            home, k = where[k], k + 1
             continue
+        for x, new in moved.items():
+            place[x] = new
+        where[k:end] = [home] * (end - k)
         k = end
-    rows["t_seq"], rows["t_tile"] = seq, tile
-    return rows[["line", "i", "t_seq", "t_tile"]]
+    none = (None, None, None)
+    return pd.DataFrame(
+        [(s["line"], s["i"], *w, *(p or none)) for s, w, p in zip(steps, where, place)], columns=[c.split()[0] for c in _MOVED.split(", ")]
+    ).astype({"ref_offset": "Int64", "ref_rev": "boolean"})
+
+
+def _kept_home(steps: DataFrame, visits: DataFrame, tile: int, stay: int) -> DataFrame:
+    """The other lines' steps, with those moved that ``_stays`` keeps in their tile."""
+    rows = _stretches(_with_visits(steps, visits))
+    ahead = Window.partitionBy("line").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    once = F.size("visits") == 1
+    rows = rows.withColumns({f"next_{c}": F.first(F.when(once, F.col(f"t_{c}")), ignorenulls=True).over(ahead) for c in ("seq", "tile")})
+    open_rows = rows.where("choice")
+    moved = open_rows.select(
+        "line", "stretch", "i", "offset", "length", "rev", "visits", "seq", "ref_offset", "ref_rev", "t_seq", "t_tile", "next_seq", "next_tile"
+    ).groupBy("line", "stretch").applyInPandas(lambda df: _stays(df, tile, stay), _MOVED)
+    kept = [c for c in steps.columns if c not in ("t_seq", "t_tile", "seq", "ref_offset", "ref_rev")]
+    return rows.where(~F.col("choice")).select(steps.columns).unionByName(open_rows.select(kept).join(moved, ["line", "i"]).select(steps.columns))
 
 
 def tiled_steps(placed: DataFrame, ref: str, tile: int = TILE, stay: int = 0) -> DataFrame:
@@ -152,11 +214,10 @@ def tiled_steps(placed: DataFrame, ref: str, tile: int = TILE, stay: int = 0) ->
     here = F.when(F.col("seq").isNotNull(), F.struct(F.col("seq").alias("s"), tile_of(F.col("ref_offset"), tile).alias("t")))
     steps = placed.withColumn("home", F.coalesce(F.last(here, ignorenulls=True).over(back), F.first(here, ignorenulls=True).over(ahead)))
     steps = steps.where(F.col("home").isNotNull()).withColumns({"t_seq": F.col("home.s"), "t_tile": F.col("home.t")}).drop("home")
-    if stay > 0:
-        moved = steps.where(sample(F.col("name")) != ref).select("line", "i", "length", "t_seq", "t_tile")
-        moved = moved.groupBy("line").applyInPandas(lambda df: _stay_home(df, stay), "line string, i bigint, t_seq string, t_tile bigint")
+    if stay > 0:  # only nodes that the reference passes more than once let a step stay
         own = steps.where(sample(F.col("name")) == ref)
-        steps = own.unionByName(steps.where(sample(F.col("name")) != ref).drop("t_seq", "t_tile").join(moved, ["line", "i"]).select(own.columns))
+        visits = own.select("node", "seq", "ref_offset", "ref_rev")
+        steps = own.unionByName(_kept_home(steps.where(sample(F.col("name")) != ref), visits, tile, stay))
     changed = (F.col("t_seq") != F.lag("t_seq").over(along)) | (F.col("t_tile") != F.lag("t_tile").over(along))
     steps = steps.withColumn("new", F.coalesce(changed, F.lit(True)).cast("bigint"))
     return steps.withColumn("piece", F.sum("new").over(back) - 1).drop("new")
@@ -169,32 +230,61 @@ def pieces(tiled: DataFrame) -> DataFrame:
     ).select("name", "frag_start", "hap_offset", "piece", "seq", "tile", "n_steps", "bp")
 
 
-def departures(tiled: DataFrame, ref: str, gaps: DataFrame | None = None) -> DataFrame:
-    """Where a line leaves a reference sequence and comes back, in different pieces and not adjacent there.
+def line_spans(offset: DataFrame) -> DataFrame:
+    """``(line, name, start, bp)`` of each line, and ``covered``: the bp of its path's lines before it."""
+    spans = offset.groupBy("line", "name", "start").agg(F.sum("length").cast("bigint").alias("bp"))
+    before = Window.partitionBy("name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("covered", F.coalesce(F.sum("bp").over(before), F.lit(0)))
+
+
+def departures(tiled: DataFrame, ref: str, gaps: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """Where a path leaves a reference sequence and comes back, in different pieces and not adjacent there.
 
-    One row for each pair of consecutive steps on one sequence.  ``gaps`` are
-    the reference's holes, which count as nothing between two breakpoints.
+    A path's lines count as one, in the order of their starts.  One row for
+    each pair of its consecutive steps on one sequence.  ``gaps`` are the
+    reference's holes, which count as nothing between two breakpoints.
+    ``spans`` are ``line_spans`` of all lines, also of those with no step on the
+    reference; with them ``missing_bp`` is the part of ``own_bp`` in no line.
+    ``own_tiles`` are the tiles of the sequence that hold own steps: the
+    leave's, where its piece goes on behind it, and the rejoin's, where its
+    piece begins before it.
     """
     steps = tiled.where(sample(F.col("name")) != ref)
-    on = Window.partitionBy("line", "seq").orderBy("i")
+    if spans is None:
+        spans = line_spans(steps)
+    along = Window.partitionBy("line").orderBy("i")
+    steps = steps.withColumns({"goes_on": F.lead("piece").over(along).eqNullSafe(F.col("piece")), "began": F.lag("piece").over(along).eqNullSafe(F.col("piece"))})
+    steps = steps.join(spans.select("line", "bp", "covered"), "line")
+    on = Window.partitionBy("name", "seq").orderBy("start", "i")
     against = F.col("rev") != F.col("ref_rev")
-    end = F.struct("i", "piece", "offset", "length", "ref_offset", against.alias("against"), "passes")
+    end = F.struct("line", "start", "bp", "covered", "i", "piece", "offset", "length", "ref_offset", against.alias("against"), "passes", "t_tile", "goes_on", "began")
     pairs = (
         steps.where(F.col("seq").isNotNull())
-        .select("line", "name", "seq", "i", end.alias("to"))
+        .select("name", "seq", "start", "i", end.alias("to"))
         .withColumn("from", F.lag("to").over(on))
-        .where(F.col("from.piece") < F.col("to.piece"))
+        .where((F.col("from.line") != F.col("to.line")) | (F.col("from.piece") < F.col("to.piece")))
     )
     stop = lambda e, leave: F.when(F.col(f"{e}.against") == leave, F.col(f"{e}.ref_offset")).otherwise(F.col(f"{e}.ref_offset") + F.col(f"{e}.length"))
+    # Between two lines: what lies between their ends, less the lines there.
+    missing = F.when(
+        F.col("from.line") != F.col("to.line"),
+        F.col("to.start") - F.col("from.start") - F.col("from.bp") - (F.col("to.covered") - F.col("from.covered") - F.col("from.bp")),
+    ).otherwise(0)
+    tiles = F.array_distinct(F.concat(*[F.when(F.col(c), F.array(f"{e}.t_tile")).otherwise(F.expr("cast(array() as array<bigint>)")) for e, c in (("from", "from.goes_on"), ("to", "to.began"))]))
     rows = pairs.select(
-        "line", "name", "seq", (F.col("from.offset") + F.col("from.length")).alias("hap_start"),
-        (F.col("to.offset") - F.col("from.offset") - F.col("from.length")).alias("own_bp"),
+        F.col("from.line").alias("line"), "name", "seq", (F.col("from.offset") + F.col("from.length")).alias("hap_start"),
+        (F.col("to.offset") - F.col("from.offset") - F.col("from.length")).alias("own_bp"), missing.cast("bigint").alias("missing_bp"),
         stop("from", True).alias("leave_pos"), F.col("from.against").alias("leave_rev"), F.col("from.passes").alias("leave_passes"),
         stop("to", False).alias("rejoin_pos"), F.col("to.against").alias("rejoin_rev"), F.col("to.passes").alias("rejoin_passes"),
         F.least("from.ref_offset", "to.ref_offset").alias("start_pos"),
         F.greatest(F.col("from.ref_offset") + F.col("from.length"), F.col("to.ref_offset") + F.col("to.length")).alias("end_pos"),
-        F.col("from.i").alias("leave_i"), F.col("to.i").alias("rejoin_i"),
+        F.col("from.i").alias("leave_i"), F.col("to.i").alias("rejoin_i"), tiles.alias("own_tiles"),
     )
+    return _unlike(rows, gaps)
+
+
+def _unlike(rows: DataFrame, gaps: DataFrame | None) -> DataFrame:
+    """Those whose ends are not adjacent, with their kind."""
     leave, rejoin = F.col("leave_pos"), F.col("rejoin_pos")
     if gaps is not None:
         # A position with the holes before it removed: the last hole that ends at or before it.
@@ -203,23 +293,13 @@ def departures(tiled: DataFrame, ref: str, gaps: DataFrame | None = None) -> Dat
         passed = lambda p: F.coalesce(F.array_max(F.transform(F.filter("gaps", lambda g: g["end_pos"] <= p), lambda g: g["upto"])), F.lit(0))
         leave, rejoin = leave - passed(leave), rejoin - passed(rejoin)
     adjacent = (F.col("own_bp") == 0) & (F.col("leave_rev") == F.col("rejoin_rev")) & (leave == rejoin)
-    rows = rows.where(~adjacent)
     kind = (
         F.when(F.col("leave_rev") != F.col("rejoin_rev"), "switch")
-        .when(F.when(F.col("leave_rev"), F.col("rejoin_pos") > F.col("leave_pos")).otherwise(F.col("rejoin_pos") < F.col("leave_pos")), "back")
-        .when(F.col("rejoin_pos") == F.col("leave_pos"), "own")
+        .when(F.when(F.col("leave_rev"), rejoin > leave).otherwise(rejoin < leave), "back")
+        .when(rejoin == leave, "own")
         .otherwise("forward")
     )
-    return rows.withColumn("kind", kind).drop("gaps")
-
-
-def own_tiles(tiled: DataFrame, left: DataFrame) -> DataFrame:
-    """The tiles of each departure's own steps on its sequence: ``(line, seq, leave_i, own_tiles)`` in first-met order."""
-    between = tiled.select("line", "t_seq", "t_tile", "i").join(left.select("line", "seq", "leave_i", "rejoin_i"), "line")
-    between = between.where((F.col("t_seq") == F.col("seq")) & (F.col("i") > F.col("leave_i")) & (F.col("i") < F.col("rejoin_i")))
-    first = between.groupBy("line", "seq", "leave_i", "t_tile").agg(F.min("i").alias("i"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "t_tile"))), lambda x: x["t_tile"])
-    return first.groupBy("line", "seq", "leave_i").agg(ordered.alias("own_tiles"))
+    return rows.where(~adjacent).withColumn("kind", kind).drop("gaps")
 
 
 def filed_departures(rows: DataFrame, tile: int = TILE) -> DataFrame:
@@ -245,36 +325,9 @@ def left_out(placed: DataFrame, ref: str) -> DataFrame:
     return placed.groupBy("line", "name").agg(F.max(F.col("seq").isNotNull()).alias("on")).where("not on").select("name")
 
 
-def walk_steps(graph: Graph, ref: str, tile: int = TILE, stay: int = 0, revisited: bool | None = None) -> DataFrame:
-    """The whole pipeline from a graph to tiled steps."""
-    return tiled_steps(place_steps(offset_steps(graph), ref, revisited), ref, tile, stay)
-
-
-def window_cut(tiled: DataFrame, seq: str, start: int, end: int, tile: int) -> DataFrame:
-    """What each line does over ``[start, end)``: runs of consecutive pieces, trimmed to the window.
-
-    ``(name, frag_start, first_i, last_i, hap_start, hap_end, bp_before, bp_after, nodes)``; a
-    fragment runs from its first step over the window to its last.
-    """
-    near = tiled.where((F.col("t_seq") == seq) & F.col("t_tile").between(start // tile * tile - tile, (end - 1) // tile * tile + tile))
-    inside = (F.col("seq") == seq) & (F.col("ref_offset") < end) & (F.col("ref_offset") + F.col("length") > start)
-    by_line = Window.partitionBy("line").orderBy("i")
-    near = near.withColumn("jump", F.coalesce(F.col("i") - F.lag("i").over(by_line) > 1, F.lit(True)).cast("int"))
-    near = near.withColumn("fragment", F.sum("jump").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("line", "fragment")
-    spans = near.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    lo, hi = F.min(F.when(F.col("inside"), F.col("i"))).over(whole), F.max(F.when(F.col("inside"), F.col("i"))).over(whole)
-    spans = spans.withColumns({"lo": lo, "hi": hi})
-    cut = F.col("i").between(F.col("lo"), F.col("hi"))
-    sums = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0)).cast("bigint")
-    return (
-        spans.where(F.col("lo").isNotNull())
-        .groupBy("line", "name", F.col("start").alias("frag_start"), "fragment")
-        .agg(
-            F.min("lo").alias("first_i"), F.max("hi").alias("last_i"), F.min(F.when(cut, F.col("offset"))).alias("hap_start"),
-            F.max(F.when(cut, F.col("offset") + F.col("length"))).alias("hap_end"), sums(F.col("i") < F.col("lo")).alias("bp_before"),
-            sums(F.col("i") > F.col("hi")).alias("bp_after"),
-            F.transform(F.array_sort(F.collect_list(F.when(cut, F.struct("i", "node", "rev")))), lambda x: F.concat(F.when(x["rev"], "<").otherwise(">"), x["node"].cast("string"))).alias("steps"),
-        )
-        .select("name", "frag_start", "first_i", "last_i", "hap_start", "hap_end", "bp_before", "bp_after", F.array_join("steps", "").alias("steps"))
-    )
+def walk_steps(graph: Graph, ref: str, tile: int = TILE, stay: int = 0, revisited: bool | None = None, check: bool = True) -> DataFrame:
+    """The whole pipeline from a graph to tiled steps; refuses steps on unknown nodes and lines that collide."""
+    offset = offset_steps(graph)
+    if check:
+        check_steps(offset)
+    return tiled_steps(place_steps(offset, ref, revisited), ref, tile, stay)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pangrove.functions import handles, names
-from pangrove.operators import alleles, codec, fold, index, intervals, metrics, place, walks
+from pangrove.operators import alleles, encode, fold, index, intervals, metrics, place, walks, windows
 from pangrove.operators.components import connected_components
-from pangrove.plans.storage import checkpointed
+from pangrove.plans import files
+from pangrove.plans.storage import checkpointed, shared_dir, written
+from pangrove.sources import gfa
 from pangrove.sources.derived import SQL as GRAPH
-from pangrove.sources.derived import derived_graph
+from pangrove.sources.derived import SUPPLY_SQL, SUPPLY_TILE, derived_graph, links_of, supply_graph
 
 REF, TILE = "R", 64
 
@@ -94,9 +98,13 @@ departed AS (
 dep AS (SELECT * FROM departed WHERE NOT (own_bp = 0 AND leave_rev = rejoin_rev AND leave_pos = rejoin_pos))"""
 
 
-def _graph(spark: SparkSession, sf_dir: str):
+def _placed(spark: SparkSession, sf_dir: str):
     graph = derived_graph(spark, sf_dir)
-    placed = place.from_paths(graph, REF, check=False)
+    return graph, place.from_paths(graph, REF)
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    graph, placed = _placed(spark, sf_dir)
     # Placed nodes feed every row and every span: made once, kept in the shared folder.
     placed.nodes = checkpointed(placed.nodes)
     graph = place.flip(graph, placed)
@@ -109,12 +117,12 @@ def _tiled(spark, sf_dir):
 
 
 def placed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[1].nodes.select("node", "seq", "start_pos", "end_pos", "rank", "flipped")
+    return _placed(spark, sf_dir)[1].nodes.select("node", "seq", "start_pos", "end_pos", "rank", "flipped")
 
 
 def contig_nodes_in_region(spark, sf_dir):
-    """Coordinate-sorted node rows over one window, the smallest whole pipeline."""
-    _, placed = _graph(spark, sf_dir)
+    """Coordinate-sorted node rows over one window, the smallest whole pipeline; no link is needed."""
+    _, placed = _placed(spark, sf_dir)
     rows = index.node_rows(placed, index.by_contig(placed))
     return index.region(rows, "R#0#Brand#1", 0, 2000).orderBy("seq", "start_pos", "node").select("seq", "start_pos", "end_pos", "node", "rank")
 
@@ -225,16 +233,6 @@ def departures_in_window(spark, sf_dir):
     return walks.departures_in(filed, "R#0#Brand#1", 300, 500, 8).select(_DEP)
 
 
-def departure_own_tiles(spark, sf_dir):
-    tiled = _tiled(spark, sf_dir)
-    found = walks.own_tiles(tiled, walks.departures(tiled, REF))
-    return found.select("line", "seq", "leave_i", F.array_join(F.transform("own_tiles", lambda x: x.cast("string")), ",").alias("own_tiles"))
-
-
-def window_walks(spark, sf_dir):
-    return walks.window_cut(_tiled(spark, sf_dir), "R#0#Brand#2", 200, 420, TILE)
-
-
 def event_holes(spark, sf_dir):
     """Stretches of time that no event of a user covers, 1,000 s each; the hole operator on another table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_timestamp("ts").alias("t"))
@@ -243,19 +241,8 @@ def event_holes(spark, sf_dir):
     return intervals.holes(e)
 
 
-def order_overlaps(spark, sf_dir):
-    """Parts whose intervals overlap on one brand's line, by binned join: a haplotype's nodes over reference tiles."""
-    off = place.offset_steps(derived_graph(spark, sf_dir))
-    spans = off.select(names.reference_name(F.col("name")).alias("seq"), F.col("offset").alias("start_pos"), (F.col("offset") + F.col("length")).alias("end_pos"), "name", "node")
-    left = spans.where("name like 'H3#%'")
-    right = spans.where("name like 'R#%'")
-    return intervals.overlapping(left, right, 128).groupBy("seq").agg(
-        F.count("*").alias("n"), F.sum(F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")).cast("bigint").alias("bp")
-    )
-
-
 def line_overlaps(spark, sf_dir):
-    """Overlaps of every haplotype's nodes with the reference's, by line: ``order_overlaps`` of the whole graph."""
+    """Overlaps of every haplotype's nodes with the reference's, by line, by a join on bins."""
     off = place.offset_steps(derived_graph(spark, sf_dir))
     spans = off.select(names.reference_name(F.col("name")).alias("seq"), F.col("offset").alias("start_pos"), (F.col("offset") + F.col("length")).alias("end_pos"), "name", "node")
     pairs = intervals.overlapping(spans.where("name not like 'R#%'"), spans.where("name like 'R#%'"), 128)
@@ -268,13 +255,6 @@ def copy_number(spark, sf_dir):
     return metrics.copy_number(_tiled(spark, sf_dir))
 
 
-def order_visits(spark, sf_dir):
-    """Visits of parts by orders and suppliers: copy number over a large table."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_quantity")
-    tile = intervals.tile_of(F.col("l_partkey"), TILE)
-    return l.groupBy(tile.alias("tile"), (F.col("l_suppkey") % 16).alias("hap")).agg(F.count("*").alias("visits"), F.countDistinct("l_partkey").alias("nodes"))
-
-
 def link_traffic(spark, sf_dir):
     return metrics.link_traffic(derived_graph(spark, sf_dir).steps)
 
@@ -307,16 +287,7 @@ def line_collisions(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     day = F.datediff("o_orderdate", F.lit("1990-01-01")).cast("bigint")
     spans = o.select(F.col("o_custkey").alias("name"), day.alias("start"), (day + F.col("o_orderkey") % 40 + 1).alias("end"), "o_orderkey")
-    by_name = Window.partitionBy("name").orderBy("start", "end", "o_orderkey")
-    spans = spans.select("name", "start", "end", F.lag("start").over(by_name).alias("s0"), F.lag("end").over(by_name).alias("e0"))
-    return spans.where((F.col("start") == F.col("s0")) | (F.col("start") < F.col("e0"))).groupBy("name").agg(F.count("*").alias("n"))
-
-
-def customer_components(spark, sf_dir):
-    """Components of parts joined by orders of one supplier's: the component operator on a larger graph."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45 and l_discount > 0.05").select("l_orderkey", "l_partkey")
-    edges = l.select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1_000_000_000).alias("b"))
-    return connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    return place.collisions(spans).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def lineitem_components(spark, sf_dir):
@@ -342,9 +313,140 @@ def direct_deletions(spark, sf_dir):
     return rows.select("chrom", "start_pos", "end_pos", "label", "ref_len", "cigar")
 
 
-def encoded_tiles(spark, sf_dir):
-    """Every piece of every tile, encoded and decoded again."""
-    return codec.encode_tiles(_tiled(spark, sf_dir), REF)
+def unlinked_traffic(spark, sf_dir):
+    """Links that haplotypes take and the reference's lines don't."""
+    steps = derived_graph(spark, sf_dir).steps
+    return metrics.unlinked(metrics.link_traffic(steps.where("line not like 'R#%'")), links_of(steps.where("line like 'R#%'")))
+
+
+def gfa_round_trip(spark, sf_dir):
+    """The graph written as GFA text, read back with all refusals, and its steps."""
+    path = shared_dir(spark, "gfa")
+    gfa.gfa_text(derived_graph(spark, sf_dir)).repartitionByRange("kind_rank", "key").sortWithinPartitions("kind_rank", "key").select("line").write.text(path)
+    graph = gfa.read_walks(spark, path)
+    return graph.steps.join(graph.lines.select("line", "name"), "line").select("name", "i", F.col("node").cast("bigint").alias("node"), "rev")
+
+
+def saved_graph_region(spark, sf_dir):
+    """A region of a saved graph: the rows are written once, and the filter reaches the scan."""
+    path = shared_dir(spark, "graph")
+    files.write_graph(*_graph(spark, sf_dir), path)
+    nodes, _, _ = files.read_graph(spark, path)
+    return index.region(nodes, "R#0#Brand#1", 0, 2000).select("seq", "start_pos", "end_pos", "node", "rank")
+
+
+# ---- the graph of suppliers: long nodes, several lines a path, as many haplotypes as the tables have ----
+
+SEQ, LO, HI = "R#0#Brand#1", 300, 420
+
+
+def _supply(spark, sf_dir):
+    """Offset steps and tiled steps of the graph of suppliers, the latter written once."""
+    offset = place.offset_steps(supply_graph(spark, sf_dir))
+    place.check_steps(offset)
+    return offset, written(walks.tiled_steps(walks.place_steps(offset, REF), REF, SUPPLY_TILE), "supply-tiled")
+
+
+_CONTIG_DEP = ["name", "seq", "hap_start", "own_bp", "missing_bp", "leave_pos", "leave_rev", "rejoin_pos", "rejoin_rev", "start_pos", "end_pos", "kind"]
+
+
+def _contig_departures(spark, sf_dir):
+    offset, tiled = _supply(spark, sf_dir)
+    return tiled, walks.departures(tiled, REF, walks.reference_holes(offset, REF), walks.line_spans(offset))
+
+
+def contig_departures(spark, sf_dir):
+    """Departures along paths of several lines, with the bp that no line holds and the tiles of their own steps."""
+    tiles = F.array_join(F.transform("own_tiles", lambda x: x.cast("string")), ",")
+    return _contig_departures(spark, sf_dir)[1].select(*_CONTIG_DEP, tiles.alias("own_tiles"))
+
+
+def _near(spark, sf_dir):
+    tiled = _supply(spark, sf_dir)[1]
+    return tiled, written(windows.steps_over(tiled, REF, SEQ, LO, HI), "window-steps")
+
+
+def window_fragments(spark, sf_dir):
+    return windows.fragments(_near(spark, sf_dir)[1])
+
+
+def window_computed(spark, sf_dir):
+    """Departures inside a piece, over a window."""
+    rows = windows.computed_departures(_near(spark, sf_dir)[1], SEQ, LO, HI)
+    return rows.select("name", "hap_start", "own_bp", "leave_pos", "leave_rev", "rejoin_pos", "rejoin_rev", "start_pos", "end_pos", "kind")
+
+
+def _window_own(spark, sf_dir):
+    tiled, left = _contig_departures(spark, sf_dir)
+    near = windows.steps_over(tiled, REF, SEQ, LO, HI)
+    records = walks.departures_in(walks.filed_departures(left, SUPPLY_TILE), SEQ, LO, HI, SUPPLY_TILE)
+    computed = windows.computed_departures(near, SEQ, LO, HI)
+    return tiled, near, [windows.own_steps_of_records(tiled, records, LO, HI, 500), windows.own_steps_computed(near, computed, LO, HI, 500)]
+
+
+def window_own_steps(spark, sf_dir):
+    """Own steps of the departures that leave or rejoin in a window."""
+    return windows.own_runs(reduce(DataFrame.unionByName, _window_own(spark, sf_dir)[2]))
+
+
+def window_nodes(spark, sf_dir):
+    """Where to draw the nodes of a window."""
+    tiled, near, own = _window_own(spark, sf_dir)
+    return windows.drawn_nodes(near, own, tiled, REF, SEQ, LO, HI)
+
+
+def window_links(spark, sf_dir):
+    return windows.taken_links(_near(spark, sf_dir)[1])
+
+
+def window_drawn(spark, sf_dir):
+    return windows.drawn_stretch(_near(spark, sf_dir)[1], REF, SEQ, LO, HI)
+
+
+def unit_extents(spark, sf_dir):
+    return encode.extents(encode.rail(_supply(spark, sf_dir)[1], REF))
+
+
+def decoded_walks(spark, sf_dir):
+    """Every walk row, printed and read back."""
+    rows = written(encode.encode(_supply(spark, sf_dir)[1], REF), "encoded")
+    return encode.decode(rows).select("seq", "tile", "path", "frag_start", "piece", "k", "node", "rev", "ref_offset")
+
+
+def rebuilt_lines(spark, sf_dir):
+    """Whole lines out of the printed rows of tiles and records."""
+    rows = written(encode.encode_within(_supply(spark, sf_dir)[1], REF, 60, 2000), "encoded")
+    return encode.rebuild_lines(rows)
+
+
+def abridged_pieces(spark, sf_dir):
+    """Pieces that tiles over a budget of steps move to records."""
+    rows = written(encode.encode_within(_supply(spark, sf_dir)[1], REF, 60, 1 << 40), "encoded")
+    return encode.expanded(rows).select("seq", "tile", "path", "frag_start", "piece", "n_steps", "hap_bp", "detail")
+
+
+def abridged_blocks(spark, sf_dir):
+    """The stretches and runs of the moved pieces, as their rows print them."""
+    rows = written(encode.encode_within(_supply(spark, sf_dir)[1], REF, 60, 1 << 40), "encoded")
+    return encode.read_blocks(rows)
+
+
+def left_out_lines(spark, sf_dir):
+    offset = place.offset_steps(supply_graph(spark, sf_dir))
+    return walks.left_out(walks.place_steps(offset, REF), REF).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def haplotype_list(spark, sf_dir):
+    return files.haplotypes(supply_graph(spark, sf_dir), REF)
+
+
+def saved_walks_window(spark, sf_dir):
+    """A window out of a saved walk file: pieces, unexpanded ones as stretches and runs, and their bp."""
+    path = shared_dir(spark, "walks")
+    files.write_walks(supply_graph(spark, sf_dir), REF, path, SUPPLY_TILE, 0, 60, 1 << 40)
+    rows = files.Walks(spark, path).rows(SEQ, LO, HI)
+    items = windows.read_rows(rows, SEQ, LO, HI)
+    return items.groupBy("path", "frag_start", "piece").agg(F.sum("length").cast("bigint").alias("bp"))
 
 
 QUERIES = {
@@ -352,9 +454,10 @@ QUERIES = {
     for f in (
         placed_nodes, contig_nodes_in_region, contig_links, anchored_nodes, anchored_links, off_reference_components, index_cut_links, contig_traversal,
         carrier_sets, sample_bits, graph_hash, path_lengths, name_parts, allele_text, tile_table, stable_placement, walk_pieces, departures, departure_kinds,
-        departure_blocks, departures_in_window, departure_own_tiles, window_walks, event_holes, order_overlaps, copy_number, order_visits, link_traffic,
-        untraversed_links, tile_costs, tile_cost_quantiles, costliest_tiles, width_histogram, line_collisions, customer_components, coarse_tier, allele_inventory, direct_deletions,
-        encoded_tiles, line_overlaps, lineitem_components,
+        departure_blocks, departures_in_window, event_holes, copy_number, link_traffic, untraversed_links, unlinked_traffic, tile_costs, tile_cost_quantiles,
+        costliest_tiles, width_histogram, line_collisions, coarse_tier, allele_inventory, direct_deletions, line_overlaps, lineitem_components,
+        gfa_round_trip, saved_graph_region, contig_departures, window_fragments, window_computed, window_own_steps, window_nodes, window_links, window_drawn,
+        unit_extents, decoded_walks, rebuilt_lines, abridged_pieces, abridged_blocks, left_out_lines, haplotype_list, saved_walks_window,
     )
 }
 
@@ -368,6 +471,87 @@ made AS (
            + CASE WHEN id % 4 = 0 AND bp > 0 THEN 100 ELSE 0 END AS start
   FROM base)"""
 
+S_TILED = f"""{SUPPLY_SQL},
+offs AS (
+  SELECT s.*, g.length, s.start + coalesce(sum(g.length) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, name LIKE 'R#%' AS is_ref
+  FROM steps s JOIN segments g USING (node)),
+refvisits AS (SELECT node, name AS seq, off AS ref_offset, rev AS ref_rev FROM offs WHERE is_ref),
+ontile AS (
+  SELECT o.*, v.seq, v.ref_offset, v.ref_rev, CASE WHEN v.seq IS NOT NULL THEN struct_pack(s := v.seq, t := (v.ref_offset // {SUPPLY_TILE} * {SUPPLY_TILE})::BIGINT) END AS here
+  FROM offs o LEFT JOIN refvisits v USING (node)),
+filled AS (
+  SELECT *, coalesce(last_value(here IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                     first_value(here IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS home
+  FROM ontile WINDOW w AS (PARTITION BY line ORDER BY i)),
+cut AS (
+  SELECT *, home.s AS t_seq, home.t AS t_tile, CASE WHEN lag(home) OVER (PARTITION BY line ORDER BY i) IS NOT DISTINCT FROM home THEN 0 ELSE 1 END AS new
+  FROM filled WHERE home IS NOT NULL),
+tiled AS (SELECT *, (sum(new) OVER (PARTITION BY line ORDER BY i ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS piece FROM cut)"""
+
+_KIND = """CASE WHEN leave_rev <> rejoin_rev THEN 'switch' WHEN (leave_rev AND rejoin_pos > leave_pos) OR (NOT leave_rev AND rejoin_pos < leave_pos) THEN 'back'
+       WHEN rejoin_pos = leave_pos THEN 'own' ELSE 'forward' END AS kind"""
+_ENDS = """CASE WHEN p.against THEN p.at ELSE p.at + p.len END AS leave_pos, p.against AS leave_rev,
+         CASE WHEN NOT against THEN ref_offset ELSE ref_offset + length END AS rejoin_pos, against AS rejoin_rev,
+         least(p.at, ref_offset) AS start_pos, greatest(p.at + p.len, ref_offset + length) AS end_pos"""
+_APART = "NOT (own_bp = 0 AND leave_rev = rejoin_rev AND leave_pos = rejoin_pos)"
+
+S_DEP = f"""{S_TILED},
+spans AS (
+  SELECT line, bp, coalesce(sum(bp) OVER (PARTITION BY name ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS covered
+  FROM (SELECT line, name, start, sum(length)::BIGINT AS bp FROM offs GROUP BY 1, 2, 3)),
+placed AS (
+  SELECT *, rev <> ref_rev AS against, coalesce(lead(piece) OVER w = piece, false) AS goes_on, coalesce(lag(piece) OVER w = piece, false) AS began
+  FROM tiled WHERE NOT is_ref WINDOW w AS (PARTITION BY line ORDER BY i)),
+chained AS (
+  SELECT *, lag(struct_pack(line := line, start := start, bp := bp, covered := covered, piece := piece, off := off, len := length, at := ref_offset, against := against, tile := t_tile, goes_on := goes_on))
+              OVER (PARTITION BY name, seq ORDER BY start, i) AS p
+  FROM placed JOIN spans USING (line) WHERE seq IS NOT NULL),
+departed AS (
+  SELECT name, seq, p.off + p.len AS hap_start, off - p.off - p.len AS own_bp,
+         (CASE WHEN p.line <> line THEN start - p.start - p.bp - (covered - p.covered - p.bp) ELSE 0 END)::BIGINT AS missing_bp, {_ENDS},
+         CASE WHEN p.goes_on AND began AND p.tile <> t_tile THEN p.tile || ',' || t_tile WHEN p.goes_on THEN p.tile::VARCHAR WHEN began THEN t_tile::VARCHAR ELSE '' END AS own_tiles
+  FROM chained WHERE p IS NOT NULL AND (p.line <> line OR p.piece < piece)),
+dep AS (SELECT *, {_KIND} FROM departed WHERE {_APART})"""
+
+S_WINDOW = f"""ext AS (SELECT t_seq, t_tile, min(ref_offset) AS a, max(ref_offset + length) AS b FROM tiled WHERE is_ref GROUP BY 1, 2),
+near AS (
+  SELECT t.*, coalesce(seq = '{SEQ}' AND ref_offset < {HI} AND ref_offset + length > {LO}, false) AS inside
+  FROM tiled t JOIN ext e USING (t_seq, t_tile) WHERE t_seq = '{SEQ}' AND e.a < {HI} AND e.b > {LO}),
+numbered AS (
+  SELECT *, sum(jump) OVER (PARTITION BY line ORDER BY i ROWS UNBOUNDED PRECEDING) AS fragment
+  FROM (SELECT *, CASE WHEN piece - lag(piece) OVER (PARTITION BY line ORDER BY i) <= 1 THEN 0 ELSE 1 END AS jump FROM near)),
+runs AS (
+  SELECT *, i BETWEEN first AND last AS kept
+  FROM (SELECT *, min(i) FILTER (inside) OVER w AS first, max(i) FILTER (inside) OVER w AS last FROM numbered WINDOW w AS (PARTITION BY line, fragment)) WHERE first IS NOT NULL),
+within AS (
+  SELECT *, rev <> ref_rev AS against, lag(struct_pack(i := i, off := off, len := length, at := ref_offset, against := rev <> ref_rev)) OVER (PARTITION BY line, piece ORDER BY i) AS p FROM near WHERE seq = '{SEQ}'),
+both_ends AS (
+  SELECT line, name, seq, piece, p.i AS leave_i, i AS rejoin_i, p.off + p.len AS hap_start, off - p.off - p.len AS own_bp, {_ENDS} FROM within WHERE p IS NOT NULL),
+computed AS (SELECT *, {_KIND} FROM both_ends WHERE {_APART} AND start_pos < {HI} AND end_pos > {LO})"""
+S_NEAR = f"{S_TILED}, {S_WINDOW}"
+S_COMPUTED = S_NEAR
+
+_ATTACHED = f"""own_bp <= 500 AND (CASE WHEN leave_rev THEN leave_pos ELSE leave_pos - 1 END BETWEEN {LO} AND {HI - 1}
+       OR CASE WHEN rejoin_rev THEN rejoin_pos - 1 ELSE rejoin_pos END BETWEEN {LO} AND {HI - 1})"""
+S_OWN = f"""{S_DEP}, {S_WINDOW},
+own AS (
+  SELECT d.name, d.seq, d.hap_start, d.own_bp, t.off, t.node, t.rev, t.length
+  FROM (SELECT * FROM dep WHERE seq = '{SEQ}' AND start_pos < {HI} AND end_pos > {LO} AND {_ATTACHED}) d
+  JOIN tiled t ON t.name = d.name AND t.t_seq = d.seq AND list_contains(string_split(d.own_tiles, ','), t.t_tile::VARCHAR) AND t.off >= d.hap_start AND t.off + t.length <= d.hap_start + d.own_bp
+  UNION
+  SELECT c.name, c.seq, c.hap_start, c.own_bp, t.off, t.node, t.rev, t.length
+  FROM (SELECT * FROM computed WHERE {_ATTACHED}) c JOIN near t ON t.line = c.line AND t.piece = c.piece AND t.i > c.leave_i AND t.i < c.rejoin_i)"""
+
+S_MOVED = f"""{S_TILED},
+costs AS (
+  SELECT t_seq, t_tile, line, name, start, count(*) + 4 * count(*) FILTER (ref_offset IS NULL) AS cost FROM tiled WHERE NOT is_ref GROUP BY 1, 2, 3, 4, 5),
+ranked AS (
+  SELECT *, row_number() OVER w AS rank, sum(cost) OVER (PARTITION BY t_seq, t_tile) AS total,
+         coalesce(sum(cost) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest
+  FROM costs WINDOW w AS (PARTITION BY t_seq, t_tile ORDER BY cost DESC, name, start)),
+chosen AS (SELECT t_seq, t_tile, min(rank) FILTER (rest <= 240) AS m FROM ranked WHERE total > 240 GROUP BY 1, 2),
+moved AS (SELECT t.*, (rank - 1)::INT AS detail FROM ranked r JOIN chosen c USING (t_seq, t_tile) JOIN tiled t USING (t_seq, t_tile, line) WHERE rank <= m)"""
+
 SQL = {
     "placed_nodes": f"WITH {PLACED} SELECT * FROM placed",
     "contig_nodes_in_region": f"WITH {PLACED} SELECT seq, start_pos, end_pos, node, rank FROM placed WHERE seq = 'R#0#Brand#1' AND start_pos < 2000 AND end_pos > 0",
@@ -452,11 +636,7 @@ s AS (SELECT user_id AS seq, t - min(t) OVER (PARTITION BY user_id) + 5 AS start
 g AS (SELECT seq, coalesce(max(end_pos) OVER (PARTITION BY seq ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, start_pos AS b FROM s)
 SELECT seq, a AS start_pos, b AS end_pos, coalesce(sum(b - a) OVER (PARTITION BY seq ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
 FROM g WHERE b > a""",
-    "order_overlaps": f"""WITH {OFFSETS}, x AS (SELECT split_part(line, '#', 3) || '#' || split_part(line, '#', 4) AS seq, line, off AS a, off + length AS b FROM offs)
-SELECT l.seq, count(*) AS n, sum(least(l.b, r.b) - greatest(l.a, r.a))::BIGINT AS bp
-FROM x l JOIN x r ON l.seq = r.seq AND l.line LIKE 'H3#%' AND r.line LIKE 'R#%' AND l.a < r.b AND l.b > r.a GROUP BY 1""",
     "copy_number": f"WITH {TILED} SELECT t_seq AS seq, t_tile AS tile, split_part(line, '#', 1) || '#' || split_part(line, '#', 2) AS hap, node, count(*) AS visits FROM tiled GROUP BY 1, 2, 3, 4",
-    "order_visits": f"SELECT l_partkey // {TILE} * {TILE} AS tile, l_suppkey % 16 AS hap, count(*) AS visits, count(DISTINCT l_partkey) AS nodes FROM lineitem GROUP BY 1, 2",
     "link_traffic": f"""WITH {GRAPH}, t AS (
   SELECT *, (node, rev) <= (next_node, NOT next_rev) AS same FROM followed WHERE next_node IS NOT NULL)
 SELECT CASE WHEN same THEN node ELSE next_node END AS src, CASE WHEN same THEN rev ELSE NOT next_rev END AS src_rev,
@@ -485,11 +665,66 @@ skips AS (
   SELECT DISTINCT a.seq, a.end_pos AS s, b.start_pos AS e FROM arcs JOIN placed a ON a.node = src JOIN placed b ON b.node = tgt
   WHERE a.rank = 0 AND b.rank = 0 AND a.seq = b.seq AND NOT src_rev AND NOT tgt_rev AND a.end_pos < b.start_pos)
 SELECT regexp_replace(seq, '^[^#]+#[^#]+#', '') AS chrom, s AS start_pos, e AS end_pos, format('{{:,}}', s - e) AS label, e - s AS ref_len, (e - s) || 'D' AS cigar FROM skips""",
-    "customer_components": """WITH RECURSIVE e AS (
-  SELECT l_partkey AS a, l_orderkey + 1000000000 AS b FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.05),
+    "lineitem_components": """WITH RECURSIVE e AS (
+  SELECT l_partkey AS a, l_orderkey + 1000000000 AS b FROM lineitem),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, label) USING KEY (node) AS (
   SELECT a, min(b) FROM (SELECT a, b FROM u UNION SELECT a, a FROM u) GROUP BY a
   UNION (SELECT u.b, min(r.label) FROM reach r JOIN u ON u.a = r.node JOIN recurring.reach c ON c.node = u.b WHERE r.label < c.label GROUP BY u.b))
 SELECT label AS component, count(*) AS n FROM reach GROUP BY 1""",
+    "line_overlaps": f"""WITH {OFFSETS}, x AS (SELECT split_part(line, '#', 3) || '#' || split_part(line, '#', 4) AS seq, line, off AS a, off + length AS b FROM offs)
+SELECT l.line AS name, l.seq, count(*) AS n, sum(least(l.b, r.b) - greatest(l.a, r.a))::BIGINT AS bp
+FROM x l JOIN x r ON l.seq = r.seq AND l.line NOT LIKE 'R#%' AND r.line LIKE 'R#%' AND l.a < r.b AND l.b > r.a GROUP BY 1, 2""",
+    "unlinked_traffic": f"""WITH {GRAPH}, t AS (
+  SELECT line, CASE WHEN same THEN node ELSE next_node END AS src, CASE WHEN same THEN rev ELSE NOT next_rev END AS src_rev,
+         CASE WHEN same THEN next_node ELSE node END AS tgt, CASE WHEN same THEN next_rev ELSE NOT rev END AS tgt_rev
+  FROM (SELECT *, (node, rev) <= (next_node, NOT next_rev) AS same FROM followed WHERE next_node IS NOT NULL))
+SELECT src, src_rev, tgt, tgt_rev FROM t WHERE line NOT LIKE 'R#%' EXCEPT SELECT src, src_rev, tgt, tgt_rev FROM t WHERE line LIKE 'R#%'""",
+    "gfa_round_trip": f"WITH {GRAPH} SELECT line AS name, i, node, rev FROM steps",
+    "saved_graph_region": f"WITH {PLACED} SELECT seq, start_pos, end_pos, node, rank FROM placed WHERE seq = 'R#0#Brand#1' AND start_pos < 2000 AND end_pos > 0",
+    "contig_departures": f"WITH {S_DEP} SELECT {', '.join(_CONTIG_DEP)}, own_tiles FROM dep",
+    "window_fragments": f"""WITH {S_NEAR}
+SELECT name, start AS frag_start, min(off) FILTER (kept) AS hap_start, max(off + length) FILTER (kept) AS hap_end,
+       coalesce(sum(length) FILTER (i < first), 0)::BIGINT AS bp_before, coalesce(sum(length) FILTER (i > last), 0)::BIGINT AS bp_after,
+       string_agg(CASE WHEN seq = t_seq THEN ref_offset::VARCHAR || CASE WHEN rev <> ref_rev THEN '-' ELSE '+' END ELSE '' END || CASE WHEN rev THEN '<' ELSE '>' END || node, ' ' ORDER BY i) FILTER (kept) AS steps
+FROM runs GROUP BY line, name, start, fragment""",
+    "window_computed": f"WITH {S_COMPUTED} SELECT name, hap_start, own_bp, leave_pos, leave_rev, rejoin_pos, rejoin_rev, start_pos, end_pos, kind FROM computed",
+    "window_own_steps": f"""WITH {S_OWN}
+SELECT name, seq, hap_start, own_bp, string_agg(CASE WHEN rev THEN '<' ELSE '>' END || node, '' ORDER BY off) AS steps FROM own GROUP BY 1, 2, 3, 4""",
+    "window_nodes": f"""WITH {S_OWN},
+held AS (SELECT name, off, node, length FROM runs WHERE kept UNION SELECT name, off, node, length FROM own),
+firsts AS (SELECT node, min(struct_pack(a := name, b := off, c := length)) AS v FROM held GROUP BY 1),
+reads AS (SELECT DISTINCT t_tile FROM near UNION SELECT DISTINCT t.t_tile FROM tiled t WHERE t.t_seq = '{SEQ}' AND t.node IN (SELECT node FROM own)),
+passes AS (
+  SELECT node, min(struct_pack(away := NOT (ref_offset < {HI} AND ref_offset + length > {LO}), a := ref_offset, b := ref_offset + length, r := rev)) AS p
+  FROM tiled WHERE is_ref AND t_seq = '{SEQ}' AND t_tile IN (FROM reads) GROUP BY 1)
+SELECT coalesce(f.node, p.node) AS node, CASE WHEN p IS NOT NULL THEN '{SEQ}' ELSE v.a END AS seq, CASE WHEN p IS NOT NULL THEN p.a ELSE v.b END AS start_pos,
+       CASE WHEN p IS NOT NULL THEN p.b ELSE v.b + v.c END AS end_pos, (p IS NULL)::BIGINT AS rank, CASE WHEN p IS NULL THEN 0 ELSE 1 END::BIGINT AS passes, coalesce(p.r, false) AS rev
+FROM firsts f FULL JOIN passes p ON f.node = p.node WHERE f.node IS NOT NULL OR NOT p.away""",
+    "window_links": f"""WITH {S_NEAR},
+two AS (
+  SELECT node AS a, rev AS ar, lead(node) OVER w AS b, lead(rev) OVER w AS br FROM runs WHERE kept WINDOW w AS (PARTITION BY line, fragment ORDER BY i)),
+ways AS (
+  SELECT least(struct_pack(k := ar::INT + br::INT, a := a, ar := ar, b := b, br := br), struct_pack(k := (NOT ar)::INT + (NOT br)::INT, a := b, ar := NOT br, b := a, br := NOT ar)) AS l
+  FROM two WHERE b IS NOT NULL)
+SELECT DISTINCT l.a AS src, l.ar AS src_rev, l.b AS tgt, l.br AS tgt_rev FROM ways""",
+    "window_drawn": f"""WITH {S_NEAR}
+SELECT '{SEQ}' AS seq, least({LO}, min(ref_offset))::BIGINT AS start_pos, greatest({HI}, max(ref_offset + length))::BIGINT AS end_pos FROM near WHERE is_ref AND inside""",
+    "unit_extents": f"WITH {S_TILED} SELECT t_seq AS seq, t_tile AS tile, min(ref_offset) AS unit_start, max(ref_offset + length) AS unit_end FROM tiled WHERE is_ref GROUP BY 1, 2",
+    "decoded_walks": f"""WITH {S_TILED}
+SELECT t_seq AS seq, t_tile AS tile, name AS path, start AS frag_start, piece, row_number() OVER (PARTITION BY line, piece ORDER BY i) - 1 AS k, node, rev, ref_offset FROM tiled WHERE NOT is_ref""",
+    "rebuilt_lines": f"WITH {S_TILED} SELECT name AS path, start AS frag_start, i, node, rev, length FROM tiled",
+    "abridged_pieces": f"WITH {S_MOVED} SELECT t_seq AS seq, t_tile AS tile, name AS path, start AS frag_start, piece, count(*) AS n_steps, sum(length)::BIGINT AS hap_bp, detail FROM moved GROUP BY ALL",
+    "abridged_blocks": f"""WITH {S_MOVED},
+marked AS (
+  SELECT *, ref_offset IS NOT NULL AS on_r, rev <> ref_rev AS against, lag(struct_pack(i := i, at := ref_offset, len := length, against := rev <> ref_rev)) OVER (PARTITION BY line, piece ORDER BY i) AS p FROM moved),
+items AS (
+  SELECT *, sum(CASE WHEN CASE WHEN NOT on_r THEN p IS NOT NULL AND p.at IS NULL
+      ELSE coalesce(p.at IS NOT NULL AND against = p.against AND CASE WHEN against THEN ref_offset + length = p.at ELSE ref_offset = p.at + p.len END, false) END THEN 0 ELSE 1 END)
+    OVER (PARTITION BY line, piece ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS item FROM marked)
+SELECT t_seq AS seq, t_tile AS tile, name AS path, start AS frag_start, piece, item::BIGINT AS item, min(ref_offset) AS lo, max(ref_offset + length) AS hi, any_value(against) AS against, sum(length)::BIGINT AS bp
+FROM items GROUP BY 1, 2, 3, 4, 5, 6""",
+    "left_out_lines": f"WITH {S_TILED} SELECT name, count(DISTINCT line) AS n FROM offs WHERE line NOT IN (SELECT line FROM tiled) GROUP BY 1",
+    "haplotype_list": f"WITH {SUPPLY_SQL} SELECT DISTINCT split_part(name, '#', 1) || '#' || split_part(name, '#', 2) AS haplotype FROM steps WHERE name NOT LIKE 'R#%'",
+    "saved_walks_window": f"""WITH {S_NEAR} SELECT name AS path, start AS frag_start, piece, sum(length)::BIGINT AS bp FROM near GROUP BY line, name, start, piece""",
 }

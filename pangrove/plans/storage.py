@@ -34,7 +34,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     Cuts the lineage, survives lost executors, and makes what follows read
@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _LEFT.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path

@@ -70,3 +70,45 @@ def links_of(steps):
     return link.select(
         "link", F.col("link.src.node").alias("src"), F.col("link.src.rev").alias("src_rev"), F.col("link.tgt.node").alias("tgt"), F.col("link.tgt.rev").alias("tgt_rev")
     )
+
+
+#: A second graph, whose haplotypes are all suppliers and grow with the tables; nodes are longer than its tiles.
+SUPPLY_TILE = 32
+#: Between the starts of a path's three lines.
+APART = 1_000_000_000_000
+
+SUPPLY_SQL = f"""
+segments AS (
+  SELECT p_partkey + 1 AS node, p_size::BIGINT AS length, p_brand AS brand, p_partkey % 5 = 4 AS alt FROM part),
+walked AS (
+  SELECT 'R#0#' || brand AS name, 0 AS f, node, false AS rev FROM segments WHERE NOT alt
+  UNION ALL
+  SELECT 'S' || h || '#1#' || brand, CASE WHEN alt AND node % 3 = 0 THEN 1 WHEN (node // 200) % 2 = 0 THEN 0 ELSE 2 END, node, (node * 7 + h) % 17 = 0
+  FROM (SELECT DISTINCT l_suppkey AS h, l_partkey + 1 AS node FROM lineitem) JOIN segments USING (node)),
+steps AS (
+  SELECT name || '@' || f AS line, name, f * {APART} AS start, row_number() OVER (PARTITION BY name, f ORDER BY node) - 1 AS i, node, rev FROM walked)"""
+
+
+def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts as segments, brands as sequences, each supplier a haplotype that visits the parts it sold.
+
+    A path has three lines: the second holds no step on the reference.
+    """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_brand")
+    sold = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("h"), (F.col("l_partkey") + 1).alias("node")).distinct()
+    base = part.select(
+        (F.col("p_partkey") + 1).alias("node"), F.col("p_size").cast("bigint").alias("length"), F.col("p_brand").alias("brand"), (F.col("p_partkey") % 5 == 4).alias("alt")
+    )
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    segments = base.select("node", "length", none("string", "sn"), none("bigint", "so"), none("bigint", "sr"), F.col("node").alias("ord"))
+    reference = base.where(~F.col("alt")).select(F.concat(F.lit("R#0#"), "brand").alias("name"), F.lit(0).alias("f"), "node", F.lit(False).alias("rev"))
+    f = F.when(F.col("alt") & (F.col("node") % 3 == 0), 1).when(F.floor(F.col("node") / 200) % 2 == 0, 0).otherwise(2)
+    walked = reference.union(
+        sold.join(base, "node").select(F.concat(F.lit("S"), F.col("h").cast("string"), F.lit("#1#"), "brand"), f, "node", (F.col("node") * 7 + F.col("h")) % 17 == 0)
+    )
+    line = F.concat("name", F.lit("@"), F.col("f").cast("string"))
+    along = Window.partitionBy("name", "f").orderBy("node")
+    steps = walked.select(line.alias("line"), "name", "f", (F.row_number().over(along) - 1).cast("bigint").alias("i"), "node", "rev")
+    lines = steps.select("line", "name", F.col("name").alias("written"), (F.col("f").cast("bigint") * APART).alias("start"), F.col("line").alias("ord")).distinct()
+    steps = steps.select("line", "i", "node", "rev")
+    return Graph(segments, links_of(steps), lines, steps)

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pangrove.functions.names import path_name, strict_number
 from pangrove.graph import Graph
 from pangrove.operators.place import Refusal
+from pangrove.plans.storage import written
 
 SPLIT_BYTES = 32 << 20
 
@@ -22,49 +23,78 @@ def _open(path: str):
     return fs, name
 
 
+#: Places of lines in the k-th file of a folder begin here, times k.
+FILE_SPAN = 1 << 44
+#: Lines in a batch that the reader hands on.
+BATCH = 4096
+
+
 class Stretch(InputPartition):
-    def __init__(self, path: str, begin: int, end: int | None):
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, path: str, begin: int, end: int | None, base: int):
+        self.path, self.begin, self.end, self.base = path, begin, end, base
 
 
 class LinesReader(DataSourceReader):
-    """Plain files in byte ranges, each from the first line that begins in it; gzip files (by magic bytes) whole."""
+    """Plain files in byte ranges, each from the first line that begins in it; gzip files (by magic bytes) whole.
+
+    A folder is its files in the order of their names.  Lines come in batches.
+    """
 
     def __init__(self, path: str, split: int):
         self.path, self.split = path, split
 
     def partitions(self):
         fs, name = _open(self.path)
+        files = [name]
+        if fs.get_file_info(name).type == pafs.FileType.Directory:
+            inside = fs.get_file_info(pafs.FileSelector(name))
+            files = sorted(f.path for f in inside if f.is_file and f.size and f.base_name[0] not in "._")
+        return [part for k, f in enumerate(files) for part in self._parts(fs, f, k * FILE_SPAN)] or [Stretch(name, 0, 0, 0)]
+
+    def _parts(self, fs, name, base):
         with fs.open_input_file(name) as f:
             if f.read(2) == b"\x1f\x8b":
-                return [Stretch(self.path, 0, None)]
+                return [Stretch(name, 0, None, base)]
             size = f.size()
-        return [Stretch(self.path, k, min(size, k + self.split)) for k in range(0, max(1, size), self.split)]
+        return [Stretch(name, k, min(size, k + self.split), base) for k in range(0, max(1, size), self.split)]
 
-    def read(self, part):
-        fs, name = _open(part.path)
+    def _lines(self, part):
+        fs = _open(self.path)[0]
         if part.end is None:
-            with fs.open_input_stream(name, compression=None) as raw, gzip.open(raw) as f:
+            with fs.open_input_stream(part.path, compression=None) as raw, gzip.open(raw) as f:
                 at = 0
                 for line in f:
-                    yield at, line.rstrip(b"\r\n").decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode()
+                    yield at, line
                     at += len(line)
             return
-        with fs.open_input_file(name) as f:
+        if part.begin >= part.end:
+            return
+        with fs.open_input_file(part.path) as f:
             at = part.begin
+            f.seek(max(0, at - 1))
+            buffered = io.BufferedReader(f, 1 << 20)
             if at:  # a line that begins before belongs to the stretch before
-                f.seek(at - 1)
-                buffered = io.BufferedReader(f, 1 << 20)
                 at += len(buffered.readline()) - 1
-            else:
-                buffered = io.BufferedReader(f, 1 << 20)
             while at < part.end:
                 line = buffered.readline()
                 if not line:
                     break
-                yield at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+                yield at, line
                 at += len(line)
 
+    def read(self, part):
+        import pyarrow as pa
+
+        places, texts = [], []
+        for at, line in self._lines(part):
+            places.append(part.base + at)
+            texts.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+            if len(texts) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=["pos", "line"])
+                places, texts = [], []
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=["pos", "line"])
+
 
 class GfaSource(DataSource):
     """``spark.read.format("gfa").load(path)``: ``(pos bigint, line string)``, pos being the line's byte offset."""
@@ -109,20 +139,22 @@ def parse_gfa(lines: DataFrame, check: bool = True) -> Graph:
     l = rows.where("kind = 'L'").select(
         "pos", c(2).alias("src"), (c(3) == "-").alias("src_rev"), c(4).alias("tgt"), (c(5) == "-").alias("tgt_rev"), F.coalesce(c(6), F.lit("*")).alias("overlap"), c(3).alias("s1"), c(5).alias("s2")
     )
-    p = rows.where("kind = 'P'").select("pos", c(2).alias("written"), F.filter(F.split(c(3), ","), lambda x: x != "").alias("walk"), c(4).alias("overlaps"))
+    p = rows.where("kind = 'P'").select("pos", c(2).alias("written"), c(3).alias("text"), F.filter(F.split(c(3), ","), lambda x: x != "").alias("walk"), F.coalesce(c(4), F.lit("*")).alias("overlaps"))
     w = rows.where("kind = 'W'").select(
-        "pos", F.concat_ws("#", c(2), c(3), c(4)).alias("written"), strict_number(c(5)).alias("start"), c(5).alias("start_text"), F.regexp_extract_all(c(7), F.lit("[<>][^<>]+"), 0).alias("walk")
+        "pos", F.concat_ws("#", c(2), c(3), c(4)).alias("written"), strict_number(c(5)).alias("start"), c(5).alias("start_text"), c(7).alias("text"),
+        F.regexp_extract_all(c(7), F.lit("[<>][^<>]+"), 0).alias("walk"),
     )
     if check:
-        bad = l.where(~F.col("s1").isin("+", "-") | ~F.col("s2").isin("+", "-")).limit(1).collect()
-        if bad:
-            raise Refusal(f"the link at byte {bad[0].pos} has no strand")
-        bad = w.where(F.col("start").isNull()).limit(1).collect()
-        if bad:
-            raise Refusal(f"the W line at byte {bad[0].pos} starts at {bad[0].start_text}, which is not a number")
-        bad = l.where(~F.col("overlap").isin("", "*", "0M")).limit(1).collect()
-        if bad:
-            raise Refusal(f"the link at byte {bad[0].pos} overlaps by {bad[0].overlap}; only blunt ends have coordinates")
+        blunt = lambda x: x.isin("", "*", "0M")
+        _refuse(l.where(~F.col("s1").isin("+", "-") | ~F.col("s2").isin("+", "-") | F.col("s1").isNull() | F.col("s2").isNull()), lambda r: f"a link without a strand, at byte {r.pos}")
+        _refuse(l.where(~blunt(F.col("overlap"))), lambda r: f"the link at byte {r.pos} overlaps by {r.overlap}; coordinates need ends that abut")
+        _refuse(p.where(F.col("text").isNull()), lambda r: f"the P line at byte {r.pos} ends before its steps")
+        _refuse(p.where(F.contains("text", F.lit(";"))), lambda r: f"{r.written} jumps with a ;, over a distance that no line tells")
+        _refuse(p.where(F.exists("walk", lambda x: ~x.rlike("^.+[+-]$"))), lambda r: f"{r.written} has a step without a strand")
+        _refuse(p.where(F.exists(F.split("overlaps", ","), lambda x: ~blunt(x))), lambda r: f"{r.written} overlaps by {r.overlaps}; coordinates need ends that abut")
+        _refuse(w.where(F.col("text").isNull()), lambda r: f"the W line at byte {r.pos} ends before its walk")
+        _refuse(w.where(F.col("start").isNull()), lambda r: f"the W line at byte {r.pos} starts at {r.start_text}, not at a number")
+        _refuse(w.where(~F.col("text").rlike(r"^(?:[<>][^<>\s]+)*$|^\*$")), lambda r: f"the walk of {r.written} holds more than steps")
     key = F.least(
         F.struct(F.col("src").alias("a"), F.col("src_rev").alias("b"), F.col("tgt").alias("c"), F.col("tgt_rev").alias("d")),
         F.struct(F.col("tgt").alias("a"), (~F.col("tgt_rev")).alias("b"), F.col("src").alias("c"), (~F.col("src_rev")).alias("d")),
@@ -139,22 +171,83 @@ def parse_gfa(lines: DataFrame, check: bool = True) -> Graph:
     bp = p_steps.join(segments.select("node", "length"), "node").groupBy("line").agg(F.sum("length").alias("bp"))
     named = p.select(line, "pos", "written").join(bp, "line", "left").withColumn("n", path_name(F.col("written"), F.coalesce("bp", F.lit(0)).cast("decimal(20,0)")))
     if check:
-        bad = named.where("n.error is not null").limit(1).collect()
-        if bad:
-            raise Refusal(f"path {bad[0].written}: {bad[0].n.error}")
+        _refuse(named.where("n.error is not null"), lambda r: f"{r.written}: {r.n.error}")
     p_lines = named.select("line", F.col("n.path").alias("name"), "written", F.col("n.start").alias("start"), F.col("pos").alias("ord"))
     w_lines = w.select(line, F.col("written").alias("name"), "written", "start", F.col("pos").alias("ord"))
     return Graph(segments, links, p_lines.unionByName(w_lines), p_steps.unionByName(w_steps))
 
 
+#: Fixed value: the greatest coordinate of a walk file, exact in a double.
+MOST = 1 << 53
+
+
+def check_walks(lines: DataFrame, graph: Graph) -> None:
+    """Refuse what walk files cannot state, beyond what ``parse_gfa`` refuses.
+
+    Names of other than printable ASCII without blanks, or that begin with
+    ``#``; a ``#`` in a W line's sample or haplotype; a W line whose end is not
+    where its steps end; starts past 2^53; ids of 2^31 and more or that are no
+    numbers; segments told twice.
+    """
+    c = lambda k: F.get(F.split("line", "\t"), k - 1)
+    w = lines.where(F.startswith("line", F.lit("W\t"))).select(F.col("pos").cast("string").alias("line"), c(2).alias("a"), c(3).alias("b"), c(6).alias("end_text"), strict_number(c(6)).alias("end"))
+    _refuse(w.where(F.contains("a", F.lit("#")) | F.contains("b", F.lit("#"))), lambda r: f"{r.a} or {r.b}: a # parts the fields of a name and cannot be in one")
+    _refuse(w.where(F.col("end").isNull()), lambda r: f"the W line at byte {r.line} ends at {r.end_text}, not at a number")
+    _refuse(graph.lines.where(~F.col("name").rlike('^[!"$-~][!-~]*$')), lambda r: f"{r.name!r} is no name that a walk file can hold")
+    _refuse(graph.lines.where(F.col("start") > MOST), lambda r: f"{r.name} begins at {r.start}, beyond 2^53")
+    _refuse(graph.segments.groupBy("node").count().where("count > 1"), lambda r: f"segment {r.node} is told {r['count']} times")
+    _refuse(graph.segments.where(~F.col("node").rlike("^[0-9]{1,10}$") | (F.col("node").try_cast("bigint") >= 1 << 31)), lambda r: f"{r.node} is no id below 2^31")
+    bp = graph.steps.join(graph.segments.select("node", "length"), "node").groupBy("line").agg(F.sum("length").alias("bp"))
+    ends = w.join(graph.lines, "line").join(bp, "line", "left").withColumn("reached", F.col("start") + F.coalesce("bp", F.lit(0)))
+    _refuse(ends.where("`end` <> reached"), lambda r: f"the steps of {r.name} end at {r.reached}, not at {r.end}")
+
+
+def _refuse(rows: DataFrame, message) -> None:
+    found = rows.limit(1).collect()
+    if found:
+        raise Refusal(message(found[0]))
+
+
 def read_gfa(spark: SparkSession, path: str, check: bool = True) -> Graph:
-    return parse_gfa(read_lines(spark, path), check)
+    """A graph file, or a folder of its parts; read once, and kept in the shared folder for the several kinds of lines."""
+    return parse_gfa(written(read_lines(spark, path), "gfa-lines"), check)
+
 
+def read_walks(spark: SparkSession, path: str) -> Graph:
+    """A graph file for walks: ``read_gfa`` with the stricter refusals."""
+    lines = written(read_lines(spark, path), "gfa-lines")
+    graph = parse_gfa(lines)
+    check_walks(lines, graph)
+    return graph
 
-def gfa_of_text(spark: SparkSession, text: str) -> Graph:
+
+def gfa_of_text(spark: SparkSession, text: str, walks: bool = False) -> Graph:
     """A graph of a small text, for tests."""
     rows, at = [], 0
     for line in text.splitlines():
         rows.append((at, line))
         at += len(line) + 1
-    return parse_gfa(spark.createDataFrame(rows, "pos bigint, line string"))
+    lines = spark.createDataFrame(rows, "pos bigint, line string")
+    graph = parse_gfa(lines)
+    if walks:
+        check_walks(lines, graph)
+    return graph
+
+
+def gfa_text(graph: Graph) -> DataFrame:
+    """``(kind_rank, key, line)``: a graph as GFA lines, paths as W lines where their name has three fields, else as P lines."""
+    t = lambda *cols: F.concat_ws("\t", *[c if not isinstance(c, str) else F.col(c).cast("string") for c in cols])
+    sign = lambda c: F.when(F.col(c), "-").otherwise("+")
+    row = lambda df, rank, key, line: df.select(F.lit(rank).alias("kind_rank"), F.col(key).cast("string").alias("key"), line.alias("line"))
+    s = row(graph.segments, 0, "node", t(F.lit("S"), "node", F.lit("*"), F.concat(F.lit("LN:i:"), F.col("length").cast("string"))))
+    l = row(graph.links, 1, "src", t(F.lit("L"), "src", sign("src_rev"), "tgt", sign("tgt_rev"), F.lit("0M")))
+    steps = graph.steps.join(graph.segments.select("node", "length"), "node").groupBy("line").agg(
+        F.array_sort(F.collect_list(F.struct("i", F.col("node").cast("string").alias("n"), "rev"))).alias("s"), F.sum("length").alias("bp")
+    )
+    lines = graph.lines.select("line", "name", "start").join(steps, "line").withColumn("f", F.split("name", "#"))
+    walk = F.array_join(F.transform("s", lambda x: F.concat(F.when(x["rev"], "<").otherwise(">"), x["n"])), "")
+    path = F.array_join(F.transform("s", lambda x: F.concat(x["n"], F.when(x["rev"], "-").otherwise("+"))), ",")
+    f = lambda k: F.get("f", F.lit(k))
+    w = t(F.lit("W"), f(0), f(1), F.array_join(F.slice("f", 3, F.size("f")), "#"), "start", (F.col("start") + F.col("bp")).cast("string"), walk)
+    p = t(F.lit("P"), F.when(F.col("start") > 0, F.concat("name", F.lit("["), F.col("start").cast("string"), F.lit("]"))).otherwise(F.col("name")), path, F.lit("*"))
+    return s.unionByName(l).unionByName(row(lines, 2, "line", F.when(F.size("f") >= 3, w).otherwise(p)))
