@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -394,27 +393,20 @@ def _grouped(shuffled: DataFrame, function) -> DataFrame:
     return shuffled.groupBy("bucket").applyInArrow(lambda table: _reduced(table, function), SCHEMA)
 
 
-#: Bits of the filter that spares texts without mixed runs a shuffle: 1 MB, whatever the input.
+#: Bits of the filter that spares texts without mixed runs a shuffle: 2**17 words at most, whatever the input.
 FILTER_BITS = 23
 
 
-def _may_be_in(keyed: DataFrame):
-    """A filter on the hash of (k, mark), exact or passing too many, from at most 2**17 words."""
-    low = F.xxhash64("k", "mark").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.expr("shiftleft(1L, cast(low & 63 as int))")
-    words = keyed.select(low.alias("low")).groupBy(F.shiftright("low", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words:
-        table[r.word] = r.bits
-    packed = table.tobytes()
-
-    @F.pandas_udf("boolean")
-    def may_be(h: pd.Series) -> pd.Series:
-        table = np.frombuffer(packed, np.uint64)
-        low = h.to_numpy() & ((1 << FILTER_BITS) - 1)
-        return pd.Series((table[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) == 1)
+def _may_be_in(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Those of ``texts`` whose hash of (k, mark) is one of ``keyed``'s, exact or passing too many.
 
-    return may_be
+    The words of the filter, a table of bounded size, are broadcast, so no
+    Python worker is needed beside those of the steps around it.
+    """
+    low = F.xxhash64("k", "mark").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keyed.select(low.alias("low")).groupBy(F.shiftright("low", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits"))
+    held = texts.withColumn("low", low).withColumn("word", F.shiftright("low", 6)).join(F.broadcast(words), "word")
+    return held.where(F.expr("shiftrightunsigned(bits, cast(low & 63 as int)) & 1 = 1")).select(texts.columns)
 
 
 def _finish(batches) -> Iterator[pa.RecordBatch]:
@@ -466,7 +458,7 @@ def repeated_substrings(
     spans = written(_grouped(long.mapInArrow(_first_map(buckets, piece), SCHEMA), lambda b: _first_reduce(b, hottest)), "substring-spans")
     mixed = spans.where(F.col("bucket") == WITH_MIXED).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans"))
     mixed = written(mixed.withColumnRenamed("id", "k"), "substring-mixed")
-    second = long.where(_may_be_in(mixed)(F.xxhash64("k", "mark"))).join(mixed, ["k", "mark"]).select("k", "mark", "text", "spans")
+    second = _may_be_in(long, mixed).join(mixed, ["k", "mark"]).select("k", "mark", "text", "spans")
     more = written(_grouped(second.mapInArrow(_second_map(buckets, piece), SCHEMA), _second_reduce), "substring-windows")
     per_doc = spans.unionByName(more).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans")).withColumnRenamed("id", "k")
     done = source.join(per_doc, ["k", "mark"], "left").select("id", "mark", "text", "spans").mapInArrow(
