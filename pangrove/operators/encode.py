@@ -85,8 +85,8 @@ def on_rail(tiled: DataFrame, rails: DataFrame, ref: str) -> DataFrame:
 _PIECE = ["line", "piece"]
 
 
-def _with_routes(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps on the rail, with what was before; and the routes that pieces take, in order.
+def _with_routes(steps: DataFrame) -> DataFrame:
+    """The routes that pieces take, in order.
 
     A piece goes on along the rail only to its next position; any other pair of
     steps on it, and what is before the first or after the last, is a route.
@@ -128,7 +128,7 @@ def _with_routes(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = lambda c: c.bitwiseXOR(F.lit(1))
     way = F.struct(blank(F.col("entry")).alias("a"), F.col("interior").alias("b"), blank(F.col("exit")).alias("c"))
     back = F.struct(blank(other(F.col("exit"))).alias("a"), F.transform(F.reverse("interior"), other).alias("b"), blank(other(F.col("entry"))).alias("c"))
-    return on, taken.withColumn("route", F.least(way, back)).withColumn("flip", (back < way).cast("bigint"))
+    return taken.withColumn("route", F.least(way, back)).withColumn("flip", (back < way).cast("bigint"))
 
 
 def _tokens(handles: Column, previous: Column) -> Column:
@@ -155,11 +155,12 @@ def encode(tiled: DataFrame, ref: str, bases: DataFrame | None = None) -> DataFr
 
     ``tiled`` may have a ``unit``: lines of a unit of their own get nodes,
     routes and walks apart, numbered anew.  With ``bases``, rows of references
-    and nodes end with their sequences.
+    and nodes end with their sequences.  ``tiled`` is read several times, so it
+    should be a written table; placed steps and routes are written here.
     """
     _refuse_bare(bases)
     rails = rail(tiled, ref)
-    hull = extents(rails)
+    hull = written(extents(rails), "encode-extents")
     own = tiled.where(sample(F.col("name")) == ref)
     own = _bases(own.withColumn("node", F.col("node").cast("bigint")), bases)
     by_piece = Window.partitionBy("line", "piece").orderBy("i")
@@ -178,15 +179,15 @@ def encode(tiled: DataFrame, ref: str, bases: DataFrame | None = None) -> DataFr
     )
     rows = refs.select(*_row("ref", order, text))
 
-    steps = on_rail(tiled, rails, ref)
-    on, taken = _with_routes(steps)
+    steps = written(on_rail(tiled, rails, ref), "encode-steps")
+    taken = written(_with_routes(steps), "encode-taken")
     routes = taken.groupBy(*UNIT, "route").agg(F.min("place").alias("place"))
     numbered = Window.partitionBy(*UNIT).orderBy("place", "route")
     chain = F.concat(
         F.when(F.col("route.a") >= 0, F.array("route.a")).otherwise(F.expr("cast(array() as array<bigint>)")), "route.b",
         F.when(F.col("route.c") >= 0, F.array("route.c")).otherwise(F.expr("cast(array() as array<bigint>)")),
     )
-    routes = routes.withColumn("id", (F.row_number().over(numbered) - 1).cast("bigint")).withColumn("chain", chain)
+    routes = written(routes.withColumn("id", (F.row_number().over(numbered) - 1).cast("bigint")), "encode-routes").withColumn("chain", chain)
     ends = lambda x: F.shiftright(F.element_at(x, -1), 1)
     routes = routes.withColumn("before", F.coalesce(ends(F.lag("chain").over(numbered)), F.lit(0).cast("bigint")))
     entry, inner = F.when(F.col("route.a") >= 0, F.array("route.a")), F.col("route.b")
@@ -213,7 +214,10 @@ def encode(tiled: DataFrame, ref: str, bases: DataFrame | None = None) -> DataFr
     mark = lambda sign, c: F.coalesce(F.concat(F.lit(sign), F.col(c).cast("string")), F.lit(""))
     chosen = chosen.withColumn("token", F.concat(token, mark(":", "leave"), mark("@", "landed")))
     chosen = chosen.groupBy(*_PIECE).agg(_in_order(F.col("ord"), F.col("token")).alias("choices"))
-    walks = pieces_of(steps).join(on.where("k = 1").select(*_PIECE, "handle", "occ"), _PIECE).join(chosen, _PIECE, "left")
+    # Where each piece first is on the rail.
+    first = F.min(F.when(F.col("pos").isNotNull(), F.struct("i", "handle", "occ"))).alias("s")
+    first = steps.groupBy(*_PIECE).agg(first).select(*_PIECE, "s.handle", "s.occ")
+    walks = pieces_of(steps).join(first, _PIECE).join(chosen, _PIECE, "left")
     starts = F.concat(F.col("handle").cast("string"), F.when(F.col("occ") > 0, F.concat(F.lit("@"), F.col("occ").cast("string"))).otherwise(""))
     order = F.row_number().over(Window.partitionBy(*UNIT).orderBy("path", "frag_start", "hap_offset", "piece"))
     text = _tabbed("seq", "from", "to", F.lit("walk"), "path", "frag_start", "hap_offset", "piece", "n_steps", starts, F.coalesce("choices", F.lit(".")))
@@ -403,8 +407,7 @@ def moved_lines(tiled: DataFrame, ref: str, steps_budget: int = STEPS, bytes_bud
     all tiles that are still open are encoded anew in each of the halving steps
     that find the least number.
     """
-    steps = on_rail(tiled, rail(tiled, ref), ref)
-    lines = pieces_of(steps).groupBy("seq", "tile", "line", "path", "frag_start").agg(F.sum("cost").alias("cost"))
+    lines = pieces_of(on_rail(tiled, rail(tiled, ref), ref)).groupBy("seq", "tile", "line", "path", "frag_start").agg(F.sum("cost").alias("cost"))
     ranked = Window.partitionBy("seq", "tile").orderBy(F.desc("cost"), "path", "frag_start")
     rest = Window.partitionBy("seq", "tile").orderBy(F.desc("cost"), "path", "frag_start").rowsBetween(1, Window.unboundedFollowing)
     lines = lines.select("seq", "tile", "line", "cost", F.row_number().over(ranked).alias("rank"), F.coalesce(F.sum("cost").over(rest), F.lit(0)).alias("left"))
@@ -465,12 +468,11 @@ def encode_within(tiled: DataFrame, ref: str, steps_budget: int = STEPS, bytes_b
     """
     moved = moved_lines(tiled, ref, steps_budget, bytes_budget, bases)
     units = moved.select(F.col("seq").alias("t_seq"), F.col("tile").alias("t_tile"), "line", "unit")
-    dealt = tiled.join(units, ["t_seq", "t_tile", "line"], "left").withColumn("unit", F.coalesce("unit", F.lit(WHOLE)))
+    dealt = written(tiled.join(units, ["t_seq", "t_tile", "line"], "left").withColumn("unit", F.coalesce("unit", F.lit(WHOLE))), "abridge-tiled")
     rows = encode(dealt, ref, bases)
-    steps = on_rail(dealt, rail(dealt, ref), ref).where(F.col("unit") != WHOLE)
-    pieces = pieces_of(steps)
+    steps = written(on_rail(dealt, rail(dealt, ref), ref).where(F.col("unit") != WHOLE), "abridge-steps")
     order = F.row_number().over(Window.partitionBy("seq", "tile").orderBy("unit", "hap_offset"))
-    pieces = pieces.withColumn("order", order)
+    pieces = pieces_of(steps).withColumn("order", order)
     whole = lambda df: df.withColumn("unit", F.lit(WHOLE))
     text = _tabbed("seq", "from", "to", F.lit("abridged"), "path", "frag_start", "hap_offset", "piece", "n_steps", "hap_bp", "unit")
     short = whole(pieces.withColumn("text", text)).select(*_row("abridged", F.col("order"), F.col("text")))

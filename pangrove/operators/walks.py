@@ -65,6 +65,14 @@ def _stretches(steps: DataFrame) -> DataFrame:
     return steps.withColumn("choice", F.max(F.size("visits") > 1).over(Window.partitionBy("line", "stretch")))
 
 
+def _records(rows: pd.DataFrame) -> list[dict]:
+    """Steps in order; their passes as plain (sequence, offset, strand)."""
+    steps = rows.sort_values("i").to_dict("records")
+    for s in steps:
+        s["visits"] = [(v["seq"], v["ref_offset"], v["ref_rev"]) for v in s["visits"]]
+    return steps
+
+
 def _expected(place: tuple, step: dict) -> int:
     """The offset at which a step lies that is as far along the reference as along the path."""
     at, turned, was = place
@@ -79,7 +87,7 @@ def _nearest_passes(rows: pd.DataFrame) -> pd.DataFrame:
     nearest to where that predicts it (the lower offset on a tie), else its
     node's first pass.
     """
-    steps = rows.sort_values("i").to_dict("records")
+    steps = _records(rows)
     on = [k for k, s in enumerate(steps) if len(s["visits"])]
     anchor = next((k for k in on if len(steps[k]["visits"]) == 1), on[0])
     chosen = {}
@@ -141,7 +149,7 @@ def _stays(rows: pd.DataFrame, tile: int, stay: int) -> pd.DataFrame:
     bp of where the last placed step predicts it.  Steps on other nodes of the
     reference lose their place there.
     """
-    steps = rows.sort_values("i").to_dict("records")
+    steps = _records(rows)
     where = [(s["t_seq"], s["t_tile"]) for s in steps]
     after = (steps[-1]["next_seq"], steps[-1]["next_tile"])  # of the node passed once behind the stretch
     place = [(s["seq"], int(s["ref_offset"]), bool(s["ref_rev"])) if isinstance(s["seq"], str) else None for s in steps]

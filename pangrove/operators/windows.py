@@ -170,9 +170,8 @@ def taken_links(near: DataFrame) -> DataFrame:
     """
     steps = _kept_steps(near)
     along = Window.partitionBy("line", "fragment").orderBy("i")
-    pairs = steps.select(
-        F.col("node").alias("a"), F.col("rev").alias("ar"), F.lead("node").over(along).alias("b"), F.lead("rev").over(along).alias("br")
-    ).where("b is not null")
+    id_ = F.col("node").cast("bigint")  # of two ways the lesser number comes first
+    pairs = steps.select(id_.alias("a"), F.col("rev").alias("ar"), F.lead(id_).over(along).alias("b"), F.lead("rev").over(along).alias("br")).where("b is not null")
     way = lambda a, ar, b, br: F.struct((ar.cast("int") + br.cast("int")).alias("back"), a.alias("src"), ar.alias("src_rev"), b.alias("tgt"), br.alias("tgt_rev"))
     a, ar, b, br = (F.col(c) for c in ("a", "ar", "b", "br"))
     return pairs.select(F.least(way(a, ar, b, br), way(b, ~br, a, ~ar)).alias("l")).select("l.src", "l.src_rev", "l.tgt", "l.tgt_rev").distinct()

@@ -14,6 +14,7 @@ from pangrove.functions.names import haplotype, sample
 from pangrove.graph import Graph
 from pangrove.operators import alleles, encode, index, walks
 from pangrove.operators.place import Placed, Refusal
+from pangrove.plans.storage import written
 
 #: Versions of what is written here; a reader refuses any other.
 GRAPH_FORMAT, WALKS_FORMAT = "graph-1", "walks-1"
@@ -124,7 +125,7 @@ def write_walks(
     offset = walks.offset_steps(graph)
     walks.check_steps(offset)
     placed = walks.place_steps(offset, ref)
-    tiled = walks.tiled_steps(placed, ref, tile, stay)
+    tiled = written(walks.tiled_steps(placed, ref, tile, stay), "walks-tiled")
     spark = graph.segments.sparkSession
     rows = encode.encode_within(tiled, ref, steps_budget, bytes_budget, bases)
     rows.repartitionByRange("seq", "tile").sortWithinPartitions("seq", "tile", "unit", "kind_rank", "row").write.mode("overwrite").parquet(f"{path}/rows")

@@ -11,10 +11,10 @@ class Small:
         self.length = {n: rng.choice([1, 2, 3, 5, 9, 30]) for n in range(1, nodes + 1)}
         on = [n for n in range(1, nodes + 1) if n % 4]
         steps = []
-        for n in on:
+        for k, n in enumerate(on):
             steps.append((n, rng.random() < 0.1))
             if revisits and rng.random() < 0.3:
-                steps += [(m, rng.random() < 0.2) for m in rng.choices(on[max(0, n - 8) : n], k=rng.choice([1, 2, 3]))]
+                steps += [(m, rng.random() < 0.2) for m in rng.choices(on[max(0, k - 8) : k + 1], k=rng.choice([1, 2, 3]))]
         cut = len(steps) * 2 // 3
         first, second = steps[:cut], steps[cut:]
         bp = sum(self.length[n] for n, _ in first)

@@ -6,6 +6,7 @@ import pytest
 
 from pangrove.operators import encode, intervals, place, walks, windows
 from pangrove.plans import files
+from pangrove.plans.storage import written
 from pangrove.sources.gfa import gfa_of_text
 from tests.graphs import Small, pieces, placed
 
@@ -56,9 +57,9 @@ def ends(g, a, b):
 
 @pytest.mark.parametrize("seed", [5, 6])
 def test_departures_along_contigs(spark, seed):
-    g, graph = small(spark, seed)
+    g, graph = small(spark, seed, lines=20)
     off = place.offset_steps(graph)
-    tiled = walks.walk_steps(graph, "R", 50)
+    tiled = written(walks.walk_steps(graph, "R", 50), "t")
     rows = walks.departures(tiled, "R", walks.reference_holes(off, "R"), walks.line_spans(off)).collect()
     got = sorted((r["name"], r.hap_start, r.own_bp, r.missing_bp, r.leave_pos, r.leave_rev, r.rejoin_pos, r.rejoin_rev) for r in rows)
     want = []
@@ -86,7 +87,7 @@ def overlapping_tiles(g, lo, hi, tile):
 def test_windows(spark, seed):
     """Windows at any place, also inside a node longer than a tile."""
     g, graph = small(spark, seed)
-    tiled = walks.walk_steps(graph, "R", 12).cache()
+    tiled = written(walks.walk_steps(graph, "R", 12), "t")
     rng = random.Random(seed)
     for lo, hi in [(0, 1), *[(a, a + rng.choice([1, 5, 40])) for a in rng.sample(range(250), 5)]]:
         near = windows.steps_over(tiled, "R", "R#0#x", lo, hi)
@@ -128,8 +129,8 @@ def test_windows(spark, seed):
 def test_printed_rows_come_back(spark, seed):
     """Rows of loops, turns and repeats are read back to the same steps; within budgets too."""
     g, graph = small(spark, seed, lines=14)
-    tiled = walks.walk_steps(graph, "R", 40, 30).cache()
-    rows = encode.encode(tiled, "R").cache()
+    tiled = written(walks.walk_steps(graph, "R", 40, 30), "t")
+    rows = written(encode.encode(tiled, "R"), "t")
     assert encode.lost_steps(rows, tiled, "R").count() == 0
     assert files.faults(rows).count() == 0 and files.next_starts(rows).count() == 0
     lines = {}
@@ -138,7 +139,7 @@ def test_printed_rows_come_back(spark, seed):
     want = {(name, start): [(k, *s) for k, s in enumerate(walk)] for name, start, walk in g.lines if any(n in g.reference() for n, _ in walk)}
     assert {k: sorted(v) for k, v in lines.items()} == want
     for steps_budget, bytes_budget in ((10, 1 << 30), (1 << 30, 400), (4, 300)):
-        short = encode.encode_within(tiled, "R", steps_budget, bytes_budget).cache()
+        short = written(encode.encode_within(tiled, "R", steps_budget, bytes_budget), "t")
         assert files.faults(short).count() == 0 and encode.lost_steps(short, tiled, "R").count() == 0
         check_budgets(short, rows, steps_budget, bytes_budget)
         check_blocks(short)
@@ -198,7 +199,7 @@ def check_blocks(short):
 def test_bases(spark):
     g, graph = small(spark, 12)
     bases = spark.createDataFrame([(str(n), "ACGT"[n % 4] * l) for n, l in g.length.items()], "node string, bases string")
-    rows = encode.encode(walks.walk_steps(graph, "R", 40), "R", bases).where("kind in ('ref', 'nodes')").collect()
+    rows = encode.encode(written(walks.walk_steps(graph, "R", 40), "t"), "R", bases).where("kind in ('ref', 'nodes')").collect()
     for r in rows:
         c = r.line.split("\t")
         want = "".join("ACGT"[n % 4] * g.length[n] for n in ([h >> 1 for h in encode._unchained(c[9], 0)[0]] if c[3] == "ref" else __import__("itertools").accumulate(map(int, c[4].split(",")))))
