@@ -63,6 +63,36 @@ def bubbles(lines: DataFrame, min_alleles: int = 2, flipped: DataFrame | None =
     return clusters.groupBy("chrom", "cluster").applyInPandas(_greedy, schema).drop("ord", "cluster")
 
 
+def sample_name(path: str) -> str:
+    """A call file's sample: its name less folders and endings."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    for ending in (".gz", ".bed", ".call", ".txt"):
+        name = name.removesuffix(ending)
+    return name
+
+
+def read_calls(spark, paths: list[str]) -> DataFrame:
+    """``(sample, bubble, chrom, start_pos, end_pos, field)`` of call files, one for each sample.
+
+    ``bubble`` is the number of the line in its file, by which the samples'
+    lines belong together.  A line of fewer than six columns is refused.
+    """
+    from pangrove.operators.place import Refusal
+    from pangrove.sources.gfa import read_lines
+
+    files = [read_lines(spark, p).withColumn("sample", F.lit(sample_name(p))) for p in paths]
+    lines = files[0]
+    for more in files[1:]:
+        lines = lines.unionByName(more)
+    c = F.split("line", "\t")
+    lines = lines.where("line <> ''")
+    bad = lines.where(F.size(c) < 6).limit(1).collect()
+    if bad:
+        raise Refusal(f"the call of {bad[0]['sample']} at byte {bad[0].pos} has fewer than six columns")
+    number = (F.row_number().over(Window.partitionBy("sample").orderBy("pos")) - 1).cast("bigint")
+    return lines.select("sample", number.alias("bubble"), c[0].alias("chrom"), c[1].cast("bigint").alias("start_pos"), c[2].cast("bigint").alias("end_pos"), c[5].alias("field"))
+
+
 def sample_paths(calls: DataFrame, reference: str) -> DataFrame:
     """A row for each bubble and sample of ``(sample, bubble, chrom, start_pos, end_pos, field)`` calls.
 

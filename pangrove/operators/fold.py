@@ -38,21 +38,27 @@ def _both_ways(e: DataFrame) -> DataFrame:
 def distances(nodes: DataFrame, both: DataFrame) -> DataFrame:
     """``(node, dist, pred)``: fewest bp back to the backbone and the neighbour that way, ties to the lesser name.
 
-    Relaxes until nothing changes; each round keeps the least (bp, name) of a
-    node's neighbours, so a round is one join and one combined minimum.
+    Only what the last round improved goes on to its neighbours, and a round
+    writes only what it improves; a node's best is the least of its rows.
     """
     length = nodes.where("rank <> 0").select("node", "length")
-    into = both.select("node", "other").distinct().join(length, "node")
-    dist = nodes.where("rank = 0").select("node", F.lit(0).cast("bigint").alias("dist"), F.lit(None).cast(nodes.schema["node"].dataType).alias("pred"))
+    into = checkpointed(both.select("node", "other").distinct().join(length, "node"))
+    root = nodes.where("rank = 0").select("node", F.lit(0).cast("bigint").alias("dist"), F.lit(None).cast(nodes.schema["node"].dataType).alias("pred"))
+    front, found = root, None
     while True:
-        step = into.join(dist.select(F.col("node").alias("other"), F.col("dist").alias("d")), "other")
-        best = step.groupBy("node", "length").agg(F.min(F.struct("d", "other")).alias("b"))
-        found = best.select("node", (F.col("b.d") + F.col("length")).alias("dist"), F.col("b.other").alias("pred"))
-        new = checkpointed(dist.where("pred is null").unionByName(found))
-        changed = new.join(dist.withColumnsRenamed({"dist": "d0", "pred": "p0"}), "node", "left").where(~F.col("dist").eqNullSafe(F.col("d0")) | ~F.col("pred").eqNullSafe(F.col("p0"))).limit(1).count()
-        dist = new
-        if not changed:
-            return dist
+        near = into.join(front.select(F.col("node").alias("other"), F.col("dist").alias("d")), "other")
+        best = near.groupBy("node").agg(F.min(F.struct((F.col("d") + F.col("length")).alias("dist"), F.col("other").alias("pred"))).alias("b"))
+        if found is not None:
+            known = found.groupBy("node").agg(F.min("b").alias("known"))
+            best = best.join(known, "node", "left").where(F.col("known").isNull() | (F.col("b") < F.col("known"))).select("node", "b")
+        better = checkpointed(best)
+        if better.limit(1).count() == 0:
+            break
+        found = better if found is None else found.unionByName(better)
+        front = better.select("node", "b.dist")
+    if found is None:
+        return root
+    return root.unionByName(checkpointed(found.groupBy("node").agg(F.min("b").alias("b")).select("node", "b.dist", "b.pred")))
 
 
 def fold(graph: Graph, placed: Placed, below: int) -> Graph:

@@ -111,6 +111,7 @@ def samples(placed: Placed) -> DataFrame:
     from pyspark.sql import Window
 
     names = placed.nodes.select(F.explode("carriers").alias("assembly")).distinct()
+    # One window over all of them: assemblies are counted in thousands, not with the nodes.
     return names.select("assembly", (F.row_number().over(Window.orderBy("assembly")) - 1).cast("bigint").alias("bit"))
 
 
@@ -121,6 +122,33 @@ def carrier_sets(placed: Placed) -> DataFrame:
     return placed.nodes.select("node", F.array_join("carriers", ",").alias("names")).join(bits, "node")
 
 
+def largest_moved(spans: Spans, n: int = 10) -> DataFrame:
+    """The largest components that keep their own coordinates, for a report: ``(component, n_nodes, seq, start_pos, end_pos)``."""
+    rows = spans.moved.select("component", "n_nodes", "at.*")
+    return rows.orderBy(F.desc("n_nodes"), "seq", "start_pos", "component").limit(n)
+
+
+def read_text(lines: DataFrame, anchored_layout: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Node and link rows out of ``(pos, line)`` text that ``node_text`` and ``link_text`` made; the first row of a node counts."""
+    c = F.split("line", "\t")
+    text = lines.where(~F.startswith("line", F.lit("#")) & (F.col("line") != "")).withColumn("c", c)
+    number = lambda k: F.col("c")[k].cast("bigint")
+    is_link = F.size("c") >= 13
+    own = (F.col("c")[5], number(6), number(7)) if anchored_layout else (F.col("c")[0], number(1), number(2))
+    tag = F.element_at("c", -1)
+    nodes = text.where(~is_link).select(
+        "pos", F.col("c")[0].alias("seq"), number(1).alias("start_pos"), number(2).alias("end_pos"), F.col("c")[3].alias("node"), number(4).alias("rank"),
+        own[0].alias("own_seq"), own[1].alias("own_start"), own[2].alias("own_end"), F.when(F.startswith(tag, F.lit("SM:Z:")), F.split(F.substring(tag, 6, 1 << 30), ",")).alias("carriers"),
+    )
+    if not anchored_layout:
+        keep = [x for x in nodes.columns if x not in ("pos", "node")]
+        nodes = nodes.groupBy("node").agg(F.min(F.struct("pos", *keep)).alias("r")).select("node", *[f"r.{x}" for x in keep])
+    end = lambda k, p: (F.expr(f"left(c[{k}], length(c[{k}]) - 1)").alias(p), (F.expr(f"right(c[{k}], 1)") == "-").alias(f"{p}_rev"))
+    whole = lambda k, p: (F.col("c")[k].alias(f"{p}_seq"), number(k + 1).alias(f"{p}_start"), number(k + 2).alias(f"{p}_end"), number(k + 3).alias(f"{p}_rank"))
+    links = text.where(is_link).select(F.col("c")[0].alias("seq"), number(1).alias("start_pos"), number(2).alias("end_pos"), *end(3, "src"), *end(4, "tgt"), *whole(5, "src"), *whole(9, "tgt"))
+    return nodes.drop("pos"), links
+
+
 def node_text(rows: DataFrame, anchored_layout: bool = False) -> DataFrame:
     """Node rows as tab-separated text, with the keys they sort by."""
     own = [F.col("own_seq"), F.col("own_start").cast("string"), F.col("own_end").cast("string")] if anchored_layout else []

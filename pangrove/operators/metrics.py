@@ -28,14 +28,18 @@ def link_traffic(steps: DataFrame) -> DataFrame:
     ).agg(F.count_if(same).alias("forward"), F.count_if(~same).alias("backward"), F.countDistinct("line").alias("n_lines"))
 
 
+def _one_way(links: DataFrame) -> DataFrame:
+    """Links with ``way``, the lesser way round, by which either way of a link is the same."""
+    return links.withColumn("way", canonical_link(F.col("src"), F.col("src_rev"), F.col("tgt"), F.col("tgt_rev")))
+
+
 def untraversed(links: DataFrame, traffic: DataFrame) -> DataFrame:
-    """Links that no line takes."""
-    keys = ["src", "src_rev", "tgt", "tgt_rev"]
-    return links.select(keys).join(traffic.select(keys), keys, "left_anti")
+    """Links that no line takes, either way round."""
+    return _one_way(links).join(_one_way(traffic).select("way"), "way", "left_anti").select("src", "src_rev", "tgt", "tgt_rev")
 
 
 def unlinked(traffic: DataFrame, links: DataFrame) -> DataFrame:
-    """Links that lines take and ``links`` lacks."""
+    """Links that lines take and ``links`` has neither way round."""
     return untraversed(traffic, links)
 
 

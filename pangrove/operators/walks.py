@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pangrove.functions.names import sample
 from pangrove.graph import Graph
 from pangrove.operators.intervals import cover, holes, tile_of
+from pangrove.operators import place as placing
 from pangrove.operators.place import check_steps, offset_steps
+from pangrove.plans.storage import written
 
 TILE, STAY = 65_536, 311
 
@@ -211,24 +213,49 @@ def _kept_home(steps: DataFrame, visits: DataFrame, tile: int, stay: int) -> Dat
     return rows.where(~F.col("choice")).select(steps.columns).unionByName(open_rows.select(kept).join(moved, ["line", "i"]).select(steps.columns))
 
 
-def tiled_steps(placed: DataFrame, ref: str, tile: int = TILE, stay: int = 0) -> DataFrame:
+def tiled_steps(placed: DataFrame, ref: str, tile: int = TILE, stay: int = 0, block: int | None = None) -> DataFrame:
     """Steps with the tile they are cut into (``t_seq, t_tile``) and the number of their piece.
 
     A step off the reference stays in the tile of the last placed step, at the
     line's start in that of the first.  Lines with no placed step are left out.
+    Lines are cut in blocks of ``block`` steps; what a block takes over from
+    those before it is a row for each block.
     """
-    along = Window.partitionBy("line").orderBy("i")
-    back, ahead = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
+    block = block or placing.BLOCK
     here = F.when(F.col("seq").isNotNull(), F.struct(F.col("seq").alias("s"), tile_of(F.col("ref_offset"), tile).alias("t")))
-    steps = placed.withColumn("home", F.coalesce(F.last(here, ignorenulls=True).over(back), F.first(here, ignorenulls=True).over(ahead)))
-    steps = steps.where(F.col("home").isNotNull()).withColumns({"t_seq": F.col("home.s"), "t_tile": F.col("home.t")}).drop("home")
+    steps = placed.withColumns({"b": F.floor(F.col("i") / block), "here": here})
+    inside = Window.partitionBy("line", "b").orderBy("i")
+    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col("here").isNotNull(), F.struct("i", "here"))
+    ends = steps.groupBy("line", "b").agg(F.min(at)["here"].alias("first"), F.max(at)["here"].alias("last"))
+    blocks = Window.partitionBy("line").orderBy("b")
+    ends = ends.select(
+        "line", "b", F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("behind"),
+    )
+    home = F.coalesce(F.last("here", ignorenulls=True).over(back), F.col("before"), F.first("here", ignorenulls=True).over(ahead), F.col("behind"))
+    steps = steps.join(ends, ["line", "b"]).withColumn("home", home).where(F.col("home").isNotNull())
+    steps = steps.withColumns({"t_seq": F.col("home.s"), "t_tile": F.col("home.t")}).drop("home", "here", "before", "behind", "b")
     if stay > 0:  # only nodes that the reference passes more than once let a step stay
         own = steps.where(sample(F.col("name")) == ref)
         visits = own.select("node", "seq", "ref_offset", "ref_rev")
         steps = own.unionByName(_kept_home(steps.where(sample(F.col("name")) != ref), visits, tile, stay))
-    changed = (F.col("t_seq") != F.lag("t_seq").over(along)) | (F.col("t_tile") != F.lag("t_tile").over(along))
-    steps = steps.withColumn("new", F.coalesce(changed, F.lit(True)).cast("bigint"))
-    return steps.withColumn("piece", F.sum("new").over(back) - 1).drop("new")
+    return _numbered(steps, block)
+
+
+def _numbered(steps: DataFrame, block: int) -> DataFrame:
+    """Steps with the number of their piece: how often the tile has changed since the line's start."""
+    steps = steps.withColumns({"b": F.floor(F.col("i") / block), "now": F.struct("t_seq", "t_tile")})
+    blocks = Window.partitionBy("line").orderBy("b")
+    last = steps.groupBy("line", "b").agg(F.max(F.struct("i", "now"))["now"].alias("end"))
+    steps = steps.join(last.select("line", "b", F.lag("end").over(blocks).alias("before")), ["line", "b"])
+    inside = Window.partitionBy("line", "b").orderBy("i")
+    earlier = F.coalesce(F.lag("now").over(inside), F.col("before"))
+    steps = steps.withColumn("new", (~F.col("now").eqNullSafe(earlier)).cast("bigint")).drop("before", "now")
+    sums = steps.groupBy("line", "b").agg(F.sum("new").alias("n"))
+    sums = sums.select("line", "b", F.coalesce(F.sum("n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("so_far"))
+    count = F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("so_far") - 1
+    return steps.join(sums, ["line", "b"]).withColumn("piece", count.cast("bigint")).drop("new", "so_far", "b")
 
 
 def pieces(tiled: DataFrame) -> DataFrame:
@@ -260,18 +287,18 @@ def departures(tiled: DataFrame, ref: str, gaps: DataFrame | None = None, spans:
     steps = tiled.where(sample(F.col("name")) != ref)
     if spans is None:
         spans = line_spans(steps)
-    along = Window.partitionBy("line").orderBy("i")
-    steps = steps.withColumns({"goes_on": F.lead("piece").over(along).eqNullSafe(F.col("piece")), "began": F.lag("piece").over(along).eqNullSafe(F.col("piece"))})
-    steps = steps.join(spans.select("line", "bp", "covered"), "line")
-    on = Window.partitionBy("name", "seq").orderBy("start", "i")
+    # Only the first and the last step of a piece on a sequence can end a departure: a row for each piece, not each step.
     against = F.col("rev") != F.col("ref_rev")
-    end = F.struct("line", "start", "bp", "covered", "i", "piece", "offset", "length", "ref_offset", against.alias("against"), "passes", "t_tile", "goes_on", "began")
-    pairs = (
-        steps.where(F.col("seq").isNotNull())
-        .select("name", "seq", "start", "i", end.alias("to"))
-        .withColumn("from", F.lag("to").over(on))
-        .where((F.col("from.line") != F.col("to.line")) | (F.col("from.piece") < F.col("to.piece")))
+    end = F.struct("i", "offset", "length", "ref_offset", against.alias("against"), "passes", "t_tile")
+    whole = steps.groupBy("line", "piece").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    each = steps.where(F.col("seq").isNotNull()).groupBy("line", "name", "start", "piece", "seq").agg(F.min(end).alias("first"), F.max(end).alias("final"))
+    each = each.join(whole, ["line", "piece"]).join(spans.select("line", "bp", "covered"), "line")
+    of = lambda e: F.struct(
+        F.col("line"), F.col("start"), F.col("bp"), F.col("covered"), *(F.col(f"{e}.{c}").alias(c) for c in ("i", "offset", "length", "ref_offset", "against", "passes", "t_tile")),
+        (F.col("hi") > F.col(f"{e}.i")).alias("goes_on"), (F.col("lo") < F.col(f"{e}.i")).alias("began"),
     )
+    chain = Window.partitionBy("name", "seq").orderBy("start", "first.i")
+    pairs = each.select("name", "seq", of("first").alias("to"), F.lag(of("final")).over(chain).alias("from")).where("from is not null")
     stop = lambda e, leave: F.when(F.col(f"{e}.against") == leave, F.col(f"{e}.ref_offset")).otherwise(F.col(f"{e}.ref_offset") + F.col(f"{e}.length"))
     # Between two lines: what lies between their ends, less the lines there.
     missing = F.when(
@@ -335,7 +362,8 @@ def left_out(placed: DataFrame, ref: str) -> DataFrame:
 
 def walk_steps(graph: Graph, ref: str, tile: int = TILE, stay: int = 0, revisited: bool | None = None, check: bool = True) -> DataFrame:
     """The whole pipeline from a graph to tiled steps; refuses steps on unknown nodes and lines that collide."""
-    offset = offset_steps(graph)
+    offset = written(offset_steps(graph), "walk-offsets")  # what follows reads each of these several times
     if check:
         check_steps(offset)
-    return tiled_steps(place_steps(offset, ref, revisited), ref, tile, stay)
+    placed = written(place_steps(offset, ref, revisited), "walk-places")
+    return tiled_steps(placed, ref, tile, stay)

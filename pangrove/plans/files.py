@@ -122,9 +122,9 @@ def write_walks(
     ``rows`` and ``departures`` are sorted by sequence and place, so a window
     reads few row groups of each.
     """
-    offset = walks.offset_steps(graph)
+    offset = written(walks.offset_steps(graph), "walks-offsets")
     walks.check_steps(offset)
-    placed = walks.place_steps(offset, ref)
+    placed = written(walks.place_steps(offset, ref), "walks-places")
     tiled = written(walks.tiled_steps(placed, ref, tile, stay), "walks-tiled")
     spark = graph.segments.sparkSession
     rows = encode.encode_within(tiled, ref, steps_budget, bytes_budget, bases)

