@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
@@ -10,7 +13,7 @@ from pangrove.operators.components import connected_components
 from pangrove.plans.storage import checkpointed, discard, release, remove, shared_dir, written
 
 __all__ = [
-    "checkpointed", "connected_components", "discard", "forest", "least_labels", "release", "remove", "session_partitions", "shared_dir", "store", "written",
+    "arrow_rows", "checkpointed", "connected_components", "discard", "forest", "least_labels", "release", "remove", "session_partitions", "shared_dir", "store", "written",
 ]
 
 
@@ -19,6 +22,18 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """While it lasts, tables go to Python ``most`` rows at a time, at most; for actions within, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pangrove.llm.common import session_partitions, written
+from pangrove.llm.common import arrow_rows, discard, session_partitions, written
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes of a trigger
@@ -37,6 +37,8 @@ BUCKET_BYTES = 8_000_000
 #: Mixed runs of one trigger string beyond which their windows are dealt out one by one.
 HOT = 2000
 
+#: Rows that go to a Python worker at a time: texts and blobs are large.
+ROWS = 500
 #: A long text is hashed in pieces of so many bytes; places take the low bits of a key.
 PIECE = 4_000_000
 PLACES = np.uint64((1 << 27) - 1)
@@ -455,13 +457,17 @@ def repeated_substrings(
     keyed = source.select("k", "mark", "text")
     long = keyed.where(F.octet_length("text") >= LENGTH)
 
-    spans = written(_grouped(long.mapInArrow(_first_map(buckets, piece), SCHEMA), lambda b: _first_reduce(b, hottest)), "substring-spans")
-    mixed = spans.where(F.col("bucket") == WITH_MIXED).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans"))
-    mixed = written(mixed.withColumnRenamed("id", "k"), "substring-mixed")
-    second = _may_be_in(long, mixed).join(mixed, ["k", "mark"]).select("k", "mark", "text", "spans")
-    more = written(_grouped(second.mapInArrow(_second_map(buckets, piece), SCHEMA), _second_reduce), "substring-windows")
-    per_doc = spans.unionByName(more).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans")).withColumnRenamed("id", "k")
-    done = source.join(per_doc, ["k", "mark"], "left").select("id", "mark", "text", "spans").mapInArrow(
-        _finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    )
+    with arrow_rows(spark, ROWS):
+        spans = written(_grouped(long.mapInArrow(_first_map(buckets, piece), SCHEMA), lambda b: _first_reduce(b, hottest)), "substring-spans")
+        mixed = spans.where(F.col("bucket") == WITH_MIXED).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans"))
+        mixed = written(mixed.withColumnRenamed("id", "k"), "substring-mixed")
+        second = _may_be_in(long, mixed).join(mixed, ["k", "mark"]).select("k", "mark", "text", "spans")
+        more = written(_grouped(second.mapInArrow(_second_map(buckets, piece), SCHEMA), _second_reduce), "substring-windows")
+        discard(mixed)
+        per_doc = spans.unionByName(more).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans")).withColumnRenamed("id", "k")
+        done = source.join(per_doc, ["k", "mark"], "left").select("id", "mark", "text", "spans").mapInArrow(
+            _finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+        )
+        done = written(done, "substring-done")
+        discard(spans, more)
     return done.withColumnRenamed("id", id_col)
