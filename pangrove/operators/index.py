@@ -11,6 +11,7 @@ from pangrove.functions.handles import carrier_bits, strand
 from pangrove.graph import Graph
 from pangrove.operators.components import connected_components
 from pangrove.operators.place import Placed
+from pangrove.plans.storage import written
 
 MAX_COMPONENT = 10_000
 
@@ -46,7 +47,8 @@ def anchored(graph: Graph, placed: Placed, max_component: int | None = MAX_COMPO
     its own coordinates.  A link reaches what both of its nodes reach.
     """
     own = placed.nodes.select("node", "seq", "start_pos", F.greatest("end_pos", F.col("start_pos") + 1).alias("end_pos"), (F.col("rank") == 0).alias("is_ref"))
-    component = off_reference_components(graph, placed)
+    # Components, what they touch and their intervals are read by several branches: each is written once.
+    component = written(off_reference_components(graph, placed), "index-components")
     ends = graph.links.select("src", "tgt").union(graph.links.select("tgt", "src")).distinct()
     ref = own.where("is_ref").drop("is_ref")
     attached = (
@@ -54,8 +56,9 @@ def anchored(graph: Graph, placed: Placed, max_component: int | None = MAX_COMPO
         .join(ref.select(F.col("node").alias("tgt"), "seq", "start_pos", "end_pos"), "tgt")
         .select("component", F.col("tgt").alias("node"), "seq", "start_pos", "end_pos")
     )
+    attached = written(attached, "index-attached")
     hull = lambda df, *keys: df.groupBy(*keys, "seq").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
-    anchors = hull(attached, "component")
+    anchors = written(hull(attached, "component"), "index-anchors")
     moved = None
     if max_component is not None:
         sizes = component.groupBy("component").agg(F.count("*").alias("n_nodes"))
@@ -72,7 +75,8 @@ def anchored(graph: Graph, placed: Placed, max_component: int | None = MAX_COMPO
         .join(ref.withColumnRenamed("node", "tgt"), "tgt")
         .select(F.col("src").alias("node"), "seq", "start_pos", "end_pos")
     )
-    return Spans(nodes, hull(nodes.unionByName(through).unionByName(beside), "node"), moved)
+    nodes = written(nodes, "index-spans")
+    return Spans(nodes, written(hull(nodes.unionByName(through).unionByName(beside), "node"), "index-reach"), moved)
 
 
 def node_rows(placed: Placed, spans: Spans) -> DataFrame:

@@ -100,6 +100,8 @@ dep AS (SELECT * FROM departed WHERE NOT (own_bp = 0 AND leave_rev = rejoin_rev
 
 def _placed(spark: SparkSession, sf_dir: str):
     graph = derived_graph(spark, sf_dir)
+    # The graph is read by name checks, placement and links: its parts are written once, as a graph that is loaded.
+    graph.lines, graph.steps = written(graph.lines, "graph-lines"), written(graph.steps, "graph-steps")
     return graph, place.from_paths(graph, REF)
 
 
