@@ -75,7 +75,8 @@ def read_calls(spark, paths: list[str]) -> DataFrame:
     """``(sample, bubble, chrom, start_pos, end_pos, field)`` of call files, one for each sample.
 
     ``bubble`` is the number of the line in its file, by which the samples'
-    lines belong together.  A line of fewer than six columns is refused.
+    lines belong together, so files of unlike length are refused, as is a line
+    of fewer than six columns.
     """
     from pangrove.operators.place import Refusal
     from pangrove.sources.gfa import read_lines
@@ -89,6 +90,9 @@ def read_calls(spark, paths: list[str]) -> DataFrame:
     bad = lines.where(F.size(c) < 6).limit(1).collect()
     if bad:
         raise Refusal(f"the call of {bad[0]['sample']} at byte {bad[0].pos} has fewer than six columns")
+    sizes = lines.groupBy("sample").count().groupBy("count").agg(F.min("sample").alias("sample")).limit(2).collect()
+    if len(sizes) > 1:
+        raise Refusal("call files differ in length: " + ", ".join(f"{r['sample']} has {r['count']} lines" for r in sizes))
     number = (F.row_number().over(Window.partitionBy("sample").orderBy("pos")) - 1).cast("bigint")
     return lines.select("sample", number.alias("bubble"), c[0].alias("chrom"), c[1].cast("bigint").alias("start_pos"), c[2].cast("bigint").alias("end_pos"), c[5].alias("field"))
 

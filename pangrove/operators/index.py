@@ -153,10 +153,16 @@ def read_text(lines: DataFrame, anchored_layout: bool = False) -> tuple[DataFram
     return nodes.drop("pos"), links
 
 
-def node_text(rows: DataFrame, anchored_layout: bool = False) -> DataFrame:
-    """Node rows as tab-separated text, with the keys they sort by."""
+def node_text(rows: DataFrame, anchored_layout: bool = False, bits: DataFrame | None = None) -> DataFrame:
+    """Node rows as tab-separated text, with the keys they sort by.
+
+    With ``bits``, a row's carriers are the bits of ``carrier_sets``, else names.
+    """
     own = [F.col("own_seq"), F.col("own_start").cast("string"), F.col("own_end").cast("string")] if anchored_layout else []
     tag = F.when(F.col("carriers").isNotNull(), F.concat(F.lit("SM:Z:"), F.array_join("carriers", ",")))
+    if bits is not None:
+        rows = rows.join(bits.select("node", "bits"), "node", "left")
+        tag = F.concat(F.lit("SB:H:"), "bits")
     fields = ["seq", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.col("node").cast("string"), F.col("rank").cast("string"), *own, tag]
     return rows.select("seq", "start_pos", F.concat_ws("\t", *fields).alias("line"))
 

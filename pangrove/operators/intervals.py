@@ -20,6 +20,17 @@ def tiles(ends: DataFrame, tile: int) -> DataFrame:
     return each.select("seq", "tile_start", F.least(F.col("tile_start") + tile, "end_pos").alias("tile_end"))
 
 
+#: The greatest coordinate and the number of tiles that a walk file states.
+MOST_BP, MOST_TILES = 1 << 53, 1 << 32
+
+
+def beyond(ends: DataFrame, tile: int) -> DataFrame:
+    """Of ``(seq, end_pos)``, sequences that end beyond 2^53; one row more where all have 2^32 tiles or more."""
+    far = ends.where(F.col("end_pos") > MOST_BP).select("seq", "end_pos")
+    n = ends.agg(F.sum(F.ceil(F.col("end_pos") / tile)).alias("n")).where(F.col("n") >= MOST_TILES)
+    return far.unionByName(n.select(F.lit("all").alias("seq"), F.col("n").cast("bigint").alias("end_pos")))
+
+
 def cover(lo: Column, hi: Column, tile: int) -> Column:
     """The largest aligned blocks that tile ``[lo, hi)``, widened to whole tiles: ``array<struct<start, size>>``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pangrove.functions.handles import graph_hash
 from pangrove.functions.names import haplotype, sample
 from pangrove.graph import Graph
-from pangrove.operators import alleles, encode, index, walks
+from pangrove.operators import alleles, encode, index, intervals, walks
 from pangrove.operators.place import Placed, Refusal
 from pangrove.plans.storage import written
 
@@ -127,6 +127,9 @@ def write_walks(
     placed = written(walks.place_steps(offset, ref), "walks-places")
     tiled = written(walks.tiled_steps(placed, ref, tile, stay), "walks-tiled")
     spark = graph.segments.sparkSession
+    far = intervals.beyond(walks.reference_ends(offset, ref), tile).limit(1).collect()
+    if far:
+        raise Refusal(f"{far[0].seq} reaches {far[0].end_pos}, more than walks can state")
     rows = encode.encode_within(tiled, ref, steps_budget, bytes_budget, bases)
     rows.repartitionByRange("seq", "tile").sortWithinPartitions("seq", "tile", "unit", "kind_rank", "row").write.mode("overwrite").parquet(f"{path}/rows")
     gaps = walks.reference_holes(offset, ref)

@@ -340,8 +340,10 @@ def test_calls_alignments_and_scores(spark, tmp_path):
     lines = [r.line for r in as_text(bubbles.sample_paths(calls, "ref")).collect()]
     assert len(lines) == 4 and all(len(x.split("\t")) == 14 for x in lines)
     (tmp_path / "bad.bed").write_text("z\t5\t9\n")
-    with pytest.raises(place.Refusal):
-        bubbles.read_calls(spark, [str(tmp_path / "bad.bed")])
+    (tmp_path / "less.bed").write_text("z\t5\t9\t>x\t>y\t.\n")
+    for name in ("bad", "less"):
+        with pytest.raises(place.Refusal):
+            bubbles.read_calls(spark, [str(tmp_path / "ref.bed"), str(tmp_path / f"{name}.bed")])
 
     def cut(q, qs, qe, sign, t, ts, cg, gap):
         """One alignment walked base by base."""
@@ -376,6 +378,25 @@ def test_calls_alignments_and_scores(spark, tmp_path):
     assert (row.aligned_bp, row.visible_bp, row.recall_pairs, row.recall_strict, row.recall_listed) == (20, 10, 2, 1, 1)
 
 
+def test_made_graphs(spark):
+    """A made graph has its sizes, is the same again, and its text reads as itself."""
+    from pangrove.operators import intervals
+    from pangrove.sources.synthetic import synthetic_graph, synthetic_text
+
+    g = synthetic_graph(spark, 60, 3, sequences=2)
+    assert g.segments.count() == 60 and {r["name"] for r in g.lines.collect()} == {f"{h}#s{k}" for h in ("R#0", "H1#1", "H2#1", "H3#1") for k in (0, 1)}
+    read = gfa_of_text(spark, "\n".join(r.line for r in synthetic_text(spark, 60, 3, sequences=2).orderBy("kind_rank", "key").collect()), walks=True)
+    steps = lambda x, n: sorted((r["name"], r.i, int(r.node), r.rev) for r in x.steps.join(x.lines.select("line", "name"), "line").collect())
+    assert steps(g, 0) == steps(read, 1)
+    _, placed = place.place(read, "R")
+    bits = index.carrier_sets(placed)
+    lines = [r.line for r in index.node_text(index.node_rows(placed, index.by_contig(placed)), bits=bits).collect()]
+    known = {r.node: r.bits for r in bits.collect()}
+    assert all(x.split("\t")[-1] == "SB:H:" + known[x.split("\t")[3]] for x in lines)
+    ends = spark.createDataFrame([("a", 10), ("b", (1 << 53) + 1)], "seq string, end_pos bigint")
+    assert {r.seq for r in intervals.beyond(ends, 1 << 20).collect()} == {"b", "all"} and intervals.beyond(ends.where("seq = 'a'"), 5).count() == 0
+
+
 def test_command_line(spark, tmp_path):
     from pangrove.__main__ import main
 

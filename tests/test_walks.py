@@ -119,6 +119,9 @@ def test_windows(spark, seed):
         known = set(nodes) | {n for n, ps in passes.items() if any(over(n, p) for p in ps)}
         drawn = {int(r.node): (r.rank, r.start_pos) for r in windows.drawn_nodes(near, [], tiled, "R", "R#0#x", lo, hi).collect()}
         assert set(drawn) == known
+        index = spark.createDataFrame([(str(n),) for n in [*list(nodes)[1:], 999]], "node string")
+        apart = {(r.node, r.in_walks) for r in windows.node_sets(near, index).collect()}
+        assert apart == {("999", False), *((str(n), True) for n in list(nodes)[:1])}
         for n in known:
             if passes.get(n):
                 assert drawn[n] == (0, min(passes[n], key=lambda p: (not over(n, p), p))[0])
