@@ -219,32 +219,49 @@ def tiled_steps(placed: DataFrame, ref: str, tile: int = TILE, stay: int = 0, bl
     A step off the reference stays in the tile of the last placed step, at the
     line's start in that of the first.  Lines with no placed step are left out.
     Lines are cut in blocks of ``block`` steps; what a block takes over from
-    those before it is a row for each block.
+    those before it is a row for each block.  Where no line is longer than a
+    block, nothing is taken over.
     """
     block = block or placing.BLOCK
+    longest = placed.agg(F.max("i")).first()[0]
+    several = longest is not None and longest >= block
     here = F.when(F.col("seq").isNotNull(), F.struct(F.col("seq").alias("s"), tile_of(F.col("ref_offset"), tile).alias("t")))
     steps = placed.withColumns({"b": F.floor(F.col("i") / block), "here": here})
     inside = Window.partitionBy("line", "b").orderBy("i")
     back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("here").isNotNull(), F.struct("i", "here"))
-    ends = steps.groupBy("line", "b").agg(F.min(at)["here"].alias("first"), F.max(at)["here"].alias("last"))
-    blocks = Window.partitionBy("line").orderBy("b")
-    ends = ends.select(
-        "line", "b", F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("behind"),
-    )
+    if several:
+        steps = steps.join(_carried(steps), ["line", "b"])
+    else:
+        none = F.lit(None).cast(steps.schema["here"].dataType)
+        steps = steps.withColumns({"before": none, "behind": none})
     home = F.coalesce(F.last("here", ignorenulls=True).over(back), F.col("before"), F.first("here", ignorenulls=True).over(ahead), F.col("behind"))
-    steps = steps.join(ends, ["line", "b"]).withColumn("home", home).where(F.col("home").isNotNull())
+    steps = steps.withColumn("home", home).where(F.col("home").isNotNull())
     steps = steps.withColumns({"t_seq": F.col("home.s"), "t_tile": F.col("home.t")}).drop("home", "here", "before", "behind", "b")
     if stay > 0:  # only nodes that the reference passes more than once let a step stay
         own = steps.where(sample(F.col("name")) == ref)
         visits = own.select("node", "seq", "ref_offset", "ref_rev")
         steps = own.unionByName(_kept_home(steps.where(sample(F.col("name")) != ref), visits, tile, stay))
-    return _numbered(steps, block)
+    return _numbered(steps, block, several)
+
+
+def _carried(steps: DataFrame) -> DataFrame:
+    """``(line, b, before, behind)``: the last place in the blocks before each, and the first in those behind."""
+    at = F.when(F.col("here").isNotNull(), F.struct("i", "here"))
+    ends = steps.groupBy("line", "b").agg(F.min(at)["here"].alias("first"), F.max(at)["here"].alias("last"))
+    blocks = Window.partitionBy("line").orderBy("b")
+    return ends.select(
+        "line", "b", F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("behind"),
+    )
 
 
-def _numbered(steps: DataFrame, block: int) -> DataFrame:
+def _numbered(steps: DataFrame, block: int, several: bool) -> DataFrame:
     """Steps with the number of their piece: how often the tile has changed since the line's start."""
+    if not several:
+        along = Window.partitionBy("line").orderBy("i")
+        now = F.struct("t_seq", "t_tile")
+        steps = steps.withColumn("new", (~now.eqNullSafe(F.lag(now).over(along))).cast("bigint"))
+        return steps.withColumn("piece", (F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("bigint")).drop("new")
     steps = steps.withColumns({"b": F.floor(F.col("i") / block), "now": F.struct("t_seq", "t_tile")})
     blocks = Window.partitionBy("line").orderBy("b")
     last = steps.groupBy("line", "b").agg(F.max(F.struct("i", "now"))["now"].alias("end"))
