@@ -128,6 +128,17 @@ def test_refused_paths(spark, lines):
         place.place(graph, "r")
 
 
+def test_long_walks(spark):
+    """A walk of many steps is checked without recursion, and one with more than steps is still refused."""
+    n = 30_000
+    text = "S\t1\t*\tLN:i:2\nW\tA\t1\tc\t0\t%d\t%s\n"
+    assert gfa_of_text(spark, text % (2 * n, ">1" * n)).steps.count() == n
+    for walk in (">1" * n + ">", "1" + ">1" * n, ">1" * n + ">>1", ">1" * n + " >1", "**"):
+        with pytest.raises(place.Refusal, match="holds more than steps"):
+            gfa_of_text(spark, text % (2 * n, walk))
+    assert gfa_of_text(spark, text % (0, "*")).steps.count() == 0
+
+
 def test_names(spark):
     """Names of every kind of ending, against the endings that they were made of."""
     from pyspark.sql import functions as F
