@@ -202,9 +202,9 @@ def _stays(rows: pd.DataFrame, tile: int, stay: int) -> pd.DataFrame:
 def _kept_home(steps: DataFrame, visits: DataFrame, tile: int, stay: int) -> DataFrame:
     """The other lines' steps, with those moved that ``_stays`` keeps in their tile."""
     rows = _stretches(_with_visits(steps, visits))
-    ahead = Window.partitionBy("line").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("line").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     once = F.size("visits") == 1
-    rows = rows.withColumns({f"next_{c}": F.first(F.when(once, F.col(f"t_{c}")), ignorenulls=True).over(ahead) for c in ("seq", "tile")})
+    rows = rows.withColumns({f"next_{c}": F.last(F.when(once, F.col(f"t_{c}")), ignorenulls=True).over(ahead) for c in ("seq", "tile")})
     open_rows = rows.where("choice")
     moved = open_rows.select(
         "line", "stretch", "i", "offset", "length", "rev", "visits", "seq", "ref_offset", "ref_rev", "t_seq", "t_tile", "next_seq", "next_tile"
@@ -228,13 +228,15 @@ def tiled_steps(placed: DataFrame, ref: str, tile: int = TILE, stay: int = 0, bl
     here = F.when(F.col("seq").isNotNull(), F.struct(F.col("seq").alias("s"), tile_of(F.col("ref_offset"), tile).alias("t")))
     steps = placed.withColumns({"b": F.floor(F.col("i") / block), "here": here})
     inside = Window.partitionBy("line", "b").orderBy("i")
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    # Only steps with no place before them look ahead, so the first place of their whole block is the one ahead:
+    # a frame that ends with the block but moves with the row would be summed anew for each step.
+    back, whole = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if several:
         steps = steps.join(_carried(steps), ["line", "b"])
     else:
         none = F.lit(None).cast(steps.schema["here"].dataType)
         steps = steps.withColumns({"before": none, "behind": none})
-    home = F.coalesce(F.last("here", ignorenulls=True).over(back), F.col("before"), F.first("here", ignorenulls=True).over(ahead), F.col("behind"))
+    home = F.coalesce(F.last("here", ignorenulls=True).over(back), F.col("before"), F.first("here", ignorenulls=True).over(whole), F.col("behind"))
     steps = steps.withColumn("home", home).where(F.col("home").isNotNull())
     steps = steps.withColumns({"t_seq": F.col("home.s"), "t_tile": F.col("home.t")}).drop("home", "here", "before", "behind", "b")
     if stay > 0:  # only nodes that the reference passes more than once let a step stay
@@ -248,10 +250,10 @@ def _carried(steps: DataFrame) -> DataFrame:
     """``(line, b, before, behind)``: the last place in the blocks before each, and the first in those behind."""
     at = F.when(F.col("here").isNotNull(), F.struct("i", "here"))
     ends = steps.groupBy("line", "b").agg(F.min(at)["here"].alias("first"), F.max(at)["here"].alias("last"))
-    blocks = Window.partitionBy("line").orderBy("b")
+    earlier = lambda order: Window.partitionBy("line").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return ends.select(
-        "line", "b", F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("behind"),
+        "line", "b", F.last("last", ignorenulls=True).over(earlier("b")).alias("before"),
+        F.last("first", ignorenulls=True).over(earlier(F.desc("b"))).alias("behind"),
     )
 
 

@@ -232,6 +232,17 @@ def test_saved_walks(spark, tmp_path):
         files.Walks(spark, str(tmp_path))
 
 
+def test_frames_do_not_restart(spark):
+    """No window sums what is left of its line anew for each step, at any setting of blocks and stays."""
+    _, graph = small(spark, 2)
+    offset = written(place.offset_steps(graph), "test-offsets")
+    placed = written(walks.place_steps(offset, "R"), "test-places")
+    for stay, block in ((0, None), (40, None), (40, 4)):
+        plan = walks.tiled_steps(placed, "R", 50, stay, block)._jdf.queryExecution().analyzed().toString()
+        assert "unboundedpreceding$()" in plan
+        assert "currentrow$(), unboundedfollowing$()" not in plan and "1, unboundedfollowing$()" not in plan
+
+
 def test_cover(spark):
     from pyspark.sql import functions as F
 
