@@ -13,9 +13,11 @@ class Graph:
     ``lines(line, name, written, start, ord)`` and ``steps(line, i, node, rev)``.
 
     ``ord`` is the order of the input; node names may be of any type that sorts.
+    ``longest`` is the most steps of a line, where that is known.
     """
 
     segments: DataFrame
     links: DataFrame
     lines: DataFrame
     steps: DataFrame
+    longest: int | None = None

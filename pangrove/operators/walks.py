@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pangrove.functions.names import sample
 from pangrove.graph import Graph
-from pangrove.operators.intervals import cover, holes, tile_of
+from pangrove.operators.intervals import MOST_BP, cover, holes, tile_of
 from pangrove.operators import place as placing
 from pangrove.operators.place import check_steps, offset_steps
 from pangrove.plans.storage import written
@@ -374,6 +374,33 @@ def departures_in(filed: DataFrame, seq: str, start: int, end: int, tile: int =
     return hits.drop("block_start", "block_size").distinct()
 
 
+def binned_departures(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """Departures each filed once: in the smallest size of bin that is no shorter, under the bin where it starts.
+
+    Sizes grow by eights from a tile.  Where a cover files a departure under
+    every block of it, which long ones have many of, this keeps one row.
+    """
+    long = F.col("end_pos") - F.col("start_pos")
+    size = F.coalesce(*[F.when(long <= n, F.lit(n)) for n in _bins(tile)]).cast("bigint")
+    return rows.withColumn("bin_size", size).withColumn("bin_start", F.col("start_pos") - F.col("start_pos") % F.col("bin_size"))
+
+
+def _bins(tile: int) -> list[int]:
+    sizes = [tile]
+    while sizes[-1] <= MOST_BP:
+        sizes.append(sizes[-1] * 8)
+    return sizes
+
+
+def binned_departures_in(binned: DataFrame, seq: str, start: int, end: int, tile: int = TILE) -> DataFrame:
+    """Departures that overlap a window: of each size the bins that touch it, and the one before, whose departures can reach in."""
+    touched = F.lit(False)
+    for size in _bins(tile):
+        touched = touched | ((F.col("bin_size") == size) & F.col("bin_start").between(start // size * size - size, (end - 1) // size * size))
+    hits = binned.where((F.col("seq") == seq) & touched & (F.col("start_pos") < end) & (F.col("end_pos") > start))
+    return hits.drop("bin_start", "bin_size").distinct()
+
+
 def left_out(placed: DataFrame, ref: str) -> DataFrame:
     """Lines with no step on the reference."""
     return placed.groupBy("line", "name").agg(F.max(F.col("seq").isNotNull()).alias("on")).where("not on").select("name")

@@ -17,7 +17,7 @@ from pangrove.operators.place import Placed, Refusal
 from pangrove.plans.storage import written
 
 #: Versions of what is written here; a reader refuses any other.
-GRAPH_FORMAT, WALKS_FORMAT = "graph-1", "walks-1"
+GRAPH_FORMAT, WALKS_FORMAT = "graph-1", "walks-2"
 
 
 def _put(path: str, header: dict) -> None:
@@ -110,8 +110,9 @@ def haplotypes(graph: Graph, ref: str) -> DataFrame:
     return graph.lines.where(sample(F.col("name")) != ref).select(haplotype(F.col("name")).alias("haplotype")).distinct()
 
 
-def _departure_order(filed: DataFrame) -> DataFrame:
-    return filed.repartitionByRange("seq", "block_start").sortWithinPartitions("seq", "block_start", "block_size", "start_pos", "end_pos", "name", "hap_start")
+def _departure_order(binned: DataFrame) -> DataFrame:
+    binned = written(binned, "walks-binned")  # ranges are found from samples, so what they sort is read twice
+    return binned.repartitionByRange("seq", "bin_size", "bin_start").sortWithinPartitions("seq", "bin_size", "bin_start")
 
 
 def write_walks(
@@ -120,7 +121,7 @@ def write_walks(
     """All tables of a walk file below ``path``; what it guarantees is checked, then the header is written and returned.
 
     ``rows`` and ``departures`` are sorted by sequence and place, so a window
-    reads few row groups of each.
+    reads few row groups of each.  A departure is kept once, whatever its length.
     """
     offset = written(walks.offset_steps(graph), "walks-offsets")
     walks.check_steps(offset)
@@ -130,12 +131,12 @@ def write_walks(
     far = intervals.beyond(walks.reference_ends(offset, ref), tile).limit(1).collect()
     if far:
         raise Refusal(f"{far[0].seq} reaches {far[0].end_pos}, more than walks can state")
-    rows = encode.encode_within(tiled, ref, steps_budget, bytes_budget, bases)
+    rows = written(encode.encode_within(tiled, ref, steps_budget, bytes_budget, bases), "walks-rows")  # read twice, as ranges are found from samples
     rows.repartitionByRange("seq", "tile").sortWithinPartitions("seq", "tile", "unit", "kind_rank", "row").write.mode("overwrite").parquet(f"{path}/rows")
     gaps = walks.reference_holes(offset, ref)
     gaps.write.mode("overwrite").parquet(f"{path}/holes")
     left = walks.departures(tiled, ref, spark.read.parquet(f"{path}/holes"), walks.line_spans(offset.where("length > 0")))
-    _departure_order(walks.filed_departures(left, tile)).write.mode("overwrite").parquet(f"{path}/departures")
+    _departure_order(walks.binned_departures(left, tile)).write.mode("overwrite").parquet(f"{path}/departures")
     walks.reference_ends(offset, ref).write.mode("overwrite").parquet(f"{path}/references")
     haplotypes(graph, ref).orderBy("haplotype").write.mode("overwrite").parquet(f"{path}/haplotypes")
     kept = spark.read.parquet(f"{path}/rows")
@@ -193,7 +194,7 @@ class Walks:
         return self.table("rows").where((F.col("seq") == seq) & (F.col("tile") >= begin) & (F.col("tile") < hi))
 
     def departures(self, seq: str, lo: int, hi: int) -> DataFrame:
-        return walks.departures_in(self.table("departures"), seq, lo, hi, self.header["tile"])
+        return walks.binned_departures_in(self.table("departures"), seq, lo, hi, self.header["tile"])
 
     def haplotypes(self) -> DataFrame:
         return self.table("haplotypes")

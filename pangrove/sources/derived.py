@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pangrove.functions.handles import canonical_link
 from pangrove.graph import Graph
+from pangrove.plans.storage import written
 
 HAPLOTYPES = 16
 
@@ -109,6 +110,8 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
     line = F.concat("name", F.lit("@"), F.col("f").cast("string"))
     along = Window.partitionBy("name", "f").orderBy("node")
     steps = walked.select(line.alias("line"), "name", "f", (F.row_number().over(along) - 1).cast("bigint").alias("i"), "node", "rev")
+    steps = written(steps, "supply-steps")  # for steps and lines, each read several times
+    longest = steps.agg(F.max("i")).first()[0]
     lines = steps.select("line", "name", F.col("name").alias("written"), (F.col("f").cast("bigint") * APART).alias("start"), F.col("line").alias("ord")).distinct()
     steps = steps.select("line", "i", "node", "rev")
-    return Graph(segments, links_of(steps), lines, steps)
+    return Graph(segments, links_of(steps), lines, steps, 0 if longest is None else longest + 1)

@@ -274,3 +274,33 @@ def test_cover(spark):
     pairs = [(a, b) for a in (0, 5, 63, 64, 500, 511, 4000) for b in (1, 8, 65, 130, 512, 577, 1100, 5000) if b > a]
     rows = spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", intervals.cover(F.col("a"), F.col("b"), 2).alias("c")).collect()
     assert all([(x.start, x.size) for x in r.c] == greedy(r.a, r.b, 2) for r in rows)
+
+
+def test_departures_saved_once(spark, tmp_path):
+    """A saved departure is one row, and any window reads those that overlap it."""
+    rng = random.Random(5)
+    spans = [(a, a + rng.choice([1, 3, 20, 21, 159, 160, 161, 5000])) for a in (rng.randrange(6000) for _ in range(300))]
+    rows = spark.createDataFrame([("s", a, b, k) for k, (a, b) in enumerate(spans)], "seq string, start_pos bigint, end_pos bigint, k int")
+    binned = walks.binned_departures(rows, 20)
+    assert binned.count() == len(spans) < walks.filed_departures(rows, 20).count()
+    for lo, hi in ((0, 1), (45, 90), (3199, 3201), (2560, 5121), (10999, 12000)):
+        got = sorted(r.k for r in walks.binned_departures_in(binned, "s", lo, hi, 20).collect())
+        assert got == [k for k, (a, b) in enumerate(spans) if a < hi and b > lo]
+    _, graph = small(spark, 13)
+    path = str(tmp_path / "w")
+    files.write_walks(graph, "R", path, 20, 10, 6, 500)
+    saved = files.Walks(spark, path).table("departures")
+    assert 0 < saved.count() == saved.drop("bin_start", "bin_size").distinct().count()
+
+
+def test_offsets_of_short_lines(spark):
+    """Where no line is longer than a block, one level of sums gives the offsets of two."""
+    import dataclasses
+
+    _, graph = small(spark, 3)
+    two = place.offset_steps(graph, 6)
+    known = dataclasses.replace(graph, longest=10_000)
+    one = place.offset_steps(known)
+    assert one.columns == two.columns and one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(one).count("Join") < plan(place.offset_steps(known, 6)).count("Join")
