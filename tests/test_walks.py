@@ -304,3 +304,40 @@ def test_offsets_of_short_lines(spark):
     assert one.columns == two.columns and one.exceptAll(two).count() == two.exceptAll(one).count() == 0
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(one).count("Join") < plan(place.offset_steps(known, 6)).count("Join")
+
+
+def test_close_bounds_of_bytes(spark, monkeypatch):
+    """A tile's bytes without its first lines lie within close bounds, and those leave little to encode."""
+    from pyspark.sql import functions as F
+
+    _, graph = small(spark, 6)
+    tiled = written(walks.walk_steps(graph, "R", 50), "test-tiled")
+    whole = encode.gathered(tiled, "R")
+    ranks = whole.select("seq", "tile", "line").distinct().withColumn("unit", F.dense_rank().over(encode.Window.partitionBy("seq", "tile").orderBy("line")))
+    ranked = written(whole.drop("unit").join(ranks, ["seq", "tile", "line"]), "test-ranked")
+    bounds = {(r.tile, r.m): r for r in encode._byte_bounds(ranked, tiled, "R").collect()}
+    sizes = {}
+    for m in (0, 1, 4):
+        kept = encode._printed(tiled, ranked.where(F.col("unit") > m).withColumn("unit", F.lit(encode.WHOLE)), "R")
+        for r in encode._kept_bytes(kept).collect():
+            if (r.tile, m) in bounds:
+                b = bounds[r.tile, m]
+                sizes[r.tile, m] = r.bytes
+                assert b.least <= r.bytes <= b.most and b.most - b.least < 0.25 * r.bytes + 20
+    assert len(sizes) > 10
+    budget = sorted(size for (_, m), size in sizes.items() if m == 0)[2]
+    rounds = []
+    printed = encode._printed
+    monkeypatch.setattr(encode, "_printed", lambda *a: rounds.append(1) or printed(*a))
+    moved = {r.tile: r.n for r in encode.moved_lines(tiled, "R", 1 << 40, budget).groupBy("tile").agg(F.count("*").alias("n")).collect()}
+    assert moved and len(rounds) <= 3
+    for (tile, m), size in sizes.items():
+        assert m or (tile in moved) == (size > budget)
+
+
+def test_units_share_batches():
+    """Units of few steps are read into common batches, not one for each."""
+    unit = {"seq": "s", "tile": 0, "unit": 3, "refs": ["s\t0\t5\tref\tR#0#s\t0\t0\t0\t1\t4\t5\t."], "tables": [], "walks": ["s\t0\t5\twalk\tH#1#s\t0\t7\t2\t1\t4\t."]}
+    got = list(encode._decoded([unit] * 100))
+    assert [b.num_rows for b in got] == [100] and [b.num_rows for b in encode._decoded([unit] * 7, 3)] == [3, 3, 1]
+    assert set(zip(*(c.to_pylist() for c in got[0].columns))) == {("s", 0, 3, "H#1#s", 0, 7, 2, 0, 2, False, 5, 0)}
