@@ -187,10 +187,11 @@ class Walks:
 
     def rows(self, seq: str, lo: int, hi: int) -> DataFrame:
         """Rows of the tiles that can overlap a stretch: a tile begins at its start, or goes on from before."""
-        # The last tile that begins at or before ``lo``: its nodes can be longer than a tile.
+        # Nodes can be longer than a tile, and the last tile up to ``lo`` can have its first node behind ``lo``: then the
+        # one before it reaches there.  Any earlier one ends before ``lo``, as stretches of the reference are disjoint.
         refs = self.table("rows").where((F.col("seq") == seq) & (F.col("kind") == "ref") & (F.col("tile") <= lo))
-        first = refs.agg(F.max("tile")).first()[0]
-        begin = lo // self.header["tile"] * self.header["tile"] if first is None else min(first, lo // self.header["tile"] * self.header["tile"])
+        last = refs.select("tile").distinct().orderBy(F.desc("tile")).limit(2).collect()
+        begin = min([lo // self.header["tile"] * self.header["tile"], *(r.tile for r in last)])
         return self.table("rows").where((F.col("seq") == seq) & (F.col("tile") >= begin) & (F.col("tile") < hi))
 
     def departures(self, seq: str, lo: int, hi: int) -> DataFrame:

@@ -249,6 +249,20 @@ def test_saved_walks(spark, tmp_path):
         files.Walks(spark, str(tmp_path))
 
 
+def test_windows_that_the_last_tile_begins_behind(spark, tmp_path):
+    """A node that reaches over the start of the next tile is read by windows before that tile's own first node."""
+    lengths = [10, 25, 10, 70, 5]  # at 0, 10, 35, 45 and 115, in tiles 0, 0, 20, 40 and 100
+    extents = [(0, 35), (35, 45), (45, 115), (115, 120)]
+    text = "".join(f"S\t{n}\t*\tLN:i:{bp}\n" for n, bp in enumerate(lengths, 1)) + "".join(f"W\t{s}\t0\tx\t0\t120\t>1>2>3>4>5\n" for s in "RH")
+    path = str(tmp_path / "w")
+    files.write_walks(gfa_of_text(spark, text, walks=True), "R", path, 20, 0)
+    reader = files.Walks(spark, path)
+    for lo, hi in ((30, 34), (34, 36), (35, 36), (0, 1), (70, 71), (110, 112), (100, 116), (119, 120), (119, 500)):
+        got = windows.read_rows(reader.rows("R#0#x", lo, hi), "R#0#x", lo, hi).groupBy("path", "piece").agg({"length": "sum"}).collect()
+        want = [(f"{s}#0#x", p, b - a) for s in "HR" for p, (a, b) in enumerate(extents) if a < hi and b > lo]
+        assert sorted(tuple(r) for r in got) == want
+
+
 def test_frames_do_not_restart(spark):
     """No window sums what is left of its line anew for each step, at any setting of blocks and stays."""
     _, graph = small(spark, 2)
